@@ -166,3 +166,83 @@ def ingest_window(spark, d):
     out = P.window_filter(ev, "ts", "event_type", "click", as_of="2024-01-15", days=5)
     return out.select("event_id", "user_id", "event_type", "value",
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+# --- landed pages (S1-S4, O2, U1) ------------------------------------------
+
+_EVENT_FIELDS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+# A page fails to land when it holds an outlier value (a failed fetch).
+_OUTLIER = 400.0
+
+
+def _land_event_pages(spark, d, with_failures: bool) -> str:
+    """Pack ``events`` into pages of 100 per region (event_type) and land
+    them as JSON Lines under the shared scratch folder; pages holding an
+    outlier value are truncated when ``with_failures``."""
+    from ..session import scratch_path
+    ev = table(spark, d, "events")
+    packed = PG.pack_pages(ev, "event_type", "event_id", _EVENT_FIELDS)
+    if with_failures:
+        vals = F.from_json(F.get_json_object("value", "$.results[*].value"), "array<double>")
+        bad = F.exists(vals, lambda v: v > F.lit(_OUTLIER))
+        packed = packed.withColumn(
+            "value", F.when(bad, F.substring("value", 1, F.floor(F.length("value") / 2).cast("int")))
+            .otherwise(F.col("value")))
+    path = scratch_path(spark, "landed-events")
+    packed.select("value").write.mode("overwrite").text(path)
+    return path
+
+
+def _read_event_pages(spark, path):
+    from pyspark.sql import types as T
+    rec = T.StructType([T.StructField("event_id", T.LongType()),
+                        T.StructField("ts", T.TimestampNTZType()),
+                        T.StructField("user_id", T.LongType()),
+                        T.StructField("event_type", T.StringType()),
+                        T.StructField("value", T.DoubleType()),
+                        T.StructField("props", T.StringType())])
+    return PG.read_landed_pages(spark, path, rec)
+
+
+_PAGES_SQL = """pg AS (SELECT event_type, event_id // 100 AS page, max(value) AS vmax FROM events GROUP BY ALL),
+bad AS (SELECT event_type, min(page) AS first_bad FROM pg WHERE vmax > 400 GROUP BY ALL)"""
+
+
+@register("ingest_pages", """
+SELECT event_id, event_type AS region, (event_id // 100) * 100 AS page_offset,
+       CAST(row_number() OVER (PARTITION BY event_type, event_id // 100 ORDER BY event_id) - 1 AS BIGINT) AS pos,
+       user_id, value, props, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM events""")
+def ingest_pages(spark, d):
+    pages = _read_event_pages(spark, _land_event_pages(spark, d, False))
+    rec = PG.explode_records(pages)
+    return rec.select("event_id", "region", "page_offset", "pos", "user_id", "value", "props",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@register("ingest_completeness", f"""
+WITH {_PAGES_SQL},
+per AS (SELECT e.event_type, count(*) AS expected,
+               count(*) FILTER (WHERE b.page IS NULL) AS actual
+        FROM events e LEFT JOIN (SELECT event_type, page FROM pg WHERE vmax > 400) b
+          ON b.event_type = e.event_type AND b.page = e.event_id // 100
+        GROUP BY ALL),
+np AS (SELECT event_type, count(*) AS pages, count(*) FILTER (WHERE vmax > 400) AS bad_pages FROM pg GROUP BY ALL)
+SELECT per.event_type AS region, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual,
+       CAST(pages AS BIGINT) AS pages, CAST(bad_pages AS BIGINT) AS bad_pages,
+       (bad_pages = 0 AND actual >= expected) AS complete
+FROM per JOIN np USING (event_type)""")
+def ingest_completeness(spark, d):
+    pages = _read_event_pages(spark, _land_event_pages(spark, d, True))
+    return PG.completeness(pages).select("region", "expected", "actual", "pages", "bad_pages", "complete")
+
+
+@register("ingest_prefix", f"""
+WITH {_PAGES_SQL}
+SELECT e.event_id, e.event_type AS region, (e.event_id // 100) * 100 AS page_offset
+FROM events e LEFT JOIN bad b USING (event_type)
+WHERE b.first_bad IS NULL OR e.event_id // 100 < b.first_bad""")
+def ingest_prefix(spark, d):
+    pages = _read_event_pages(spark, _land_event_pages(spark, d, True))
+    rec = PG.explode_records(PG.readable_prefix(pages))
+    return rec.select("event_id", "region", "page_offset")

@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from .. import schema
 
 CORRUPT = "_corrupt"
+# Timestamps are landed with microseconds so that they read back exactly.
+JSON_TIME_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+                     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def envelope_schema(record_schema: T.StructType = schema.RECORD_SCHEMA) -> T.StructType:
@@ -40,6 +43,7 @@ def read_landed_pages(spark: SparkSession, path: str,
            .option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT)
            .option("multiLine", multi_line)
+           .options(**JSON_TIME_OPTIONS)
            .json(path)
            .withColumn("_file", F.input_file_name()))
     from_text = F.regexp_extract(F.col(CORRUPT), r'"offset"\s*:\s*(\d+)', 1)
@@ -119,4 +123,5 @@ def pack_pages(records: DataFrame, region_col: str, order_col: str,
              .select("region", (F.col("_page") * page_size).alias("offset"), "total_count",
                      F.transform("_es", lambda e: e["rec"]).alias("results")))
     return pages.select("region", "offset",
-                        F.to_json(F.struct("region", "offset", "total_count", "results")).alias("value"))
+                        F.to_json(F.struct("region", "offset", "total_count", "results"),
+                                  JSON_TIME_OPTIONS).alias("value"))
