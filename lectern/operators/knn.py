@@ -161,7 +161,7 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
     qbytes = nq * dim * 4
     if strategy == "auto":
         strategy = "broadcast" if qbytes <= broadcast_max_bytes else "grid"
-    idx = index.select(i_id, i_vec, *carry)
+    idx = index.select(i_id, i_vec, *[c for c in carry if c != i_vec])
     if strategy == "broadcast":
         if qbytes > broadcast_max_bytes:
             raise ValueError("questions exceed the broadcast bound")

@@ -246,3 +246,217 @@ def ingest_prefix(spark, d):
     pages = _read_event_pages(spark, _land_event_pages(spark, d, True))
     rec = PG.explode_records(PG.readable_prefix(pages))
     return rec.select("event_id", "region", "page_offset")
+
+
+# --- retrieval over the embeddings table (J2, O1, W3, T16) -----------------
+# Questions are every embedding row, searched against every embedding row.
+
+from ..operators import context as CX  # noqa: E402
+from ..operators import knn as KNN  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..plans import evaluate as EV  # noqa: E402
+from ..functions import prompt as PRM  # noqa: E402
+
+
+def _emb_hits(spark, d, k, carry=()):
+    e = table(spark, d, "embeddings")
+    qs = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"),
+                   *[F.col(c) for c in carry if c not in ("vector",)])
+    return KNN.knn(qs, idx, k, carry=list(carry))
+
+
+def _sq(a, b):
+    return (f"list_sum(list_transform(list_zip({a}, {b}), lambda x: "
+            f"(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))")
+
+
+def _dot(a, b):
+    return (f"list_sum(list_transform(list_zip({a}, {b}), lambda x: "
+            f"CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))")
+
+
+def _hits_sql(k):
+    return f"""hits AS (
+  SELECT question_id, chunk_id, distance, rank FROM (
+    SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, {_sq('q.embedding', 'v.embedding')} AS distance,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY {_sq('q.embedding', 'v.embedding')}, v.vec_id) AS rank
+    FROM embeddings q CROSS JOIN embeddings v) WHERE rank <= {k})"""
+
+
+def _knn_query(k):
+    def run(spark, d):
+        h = _emb_hits(spark, d, k)
+        return h.select("question_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
+    return run
+
+
+for _k in (3, 5):
+    register(f"knn_top{_k}", f"""
+WITH {_hits_sql(_k)}
+SELECT question_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(distance, 6) AS distance FROM hits""")(
+        _knn_query(_k))
+
+
+def _docs_meta(spark, d):
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("titre"),
+        F.col("lang").alias("ville"), "text")
+
+
+@register("search_display", f"""
+WITH {_hits_sql(3)}
+SELECT h.question_id, CAST(h.rank AS INTEGER) AS rank, printf('%.2f', 1.0 - h.distance) AS relevance,
+       coalesce(d.source, 'N/A') AS title, coalesce(d.lang, 'N/A') AS city,
+       substr(d.text, 1, 200) || '...' AS preview
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id""")
+def search_display(spark, d):
+    hits = _emb_hits(spark, d, 3).join(_docs_meta(spark, d), "chunk_id", "left")
+    return CX.display_hits(hits)
+
+
+@register("context_assembly", f"""
+WITH {_hits_sql(3)}
+SELECT h.question_id, CAST(count(*) AS INTEGER) AS n_contexts,
+       string_agg(d.text, chr(10) || chr(10) ORDER BY h.rank) AS context
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY h.question_id""")
+def context_assembly(spark, d):
+    hits = _emb_hits(spark, d, 3).join(_docs_meta(spark, d), "chunk_id", "left")
+    return CX.assemble_context(hits)
+
+
+def _emb_questions(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"),
+                                               F.col("text").alias("question"))
+    return e.join(docs, "question_id")
+
+
+@register("prompt_render", f"""
+WITH {_hits_sql(3)},
+ctx AS (SELECT h.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY h.rank) AS context
+        FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY h.question_id)
+SELECT e.vec_id AS question_id,
+       {O.q(PRM.HEAD)} || coalesce(ctx.context, '') || {O.q(PRM.MIDDLE)} || coalesce(qd.text, '') || {O.q(PRM.TAIL)} AS prompt
+FROM embeddings e JOIN documents qd ON qd.doc_id = e.vec_id
+LEFT JOIN ctx ON ctx.question_id = e.vec_id""")
+def prompt_render(spark, d):
+    hits = _emb_hits(spark, d, 3).join(_docs_meta(spark, d), "chunk_id", "left")
+    ctx = CX.assemble_context(hits)
+    return CX.render_prompts(_emb_questions(spark, d), ctx).select("question_id", "prompt")
+
+
+@register("eval_dataset", f"""
+WITH {_hits_sql(5)}
+SELECT e.vec_id AS question_id, qd.text AS question, CAST(NULL AS VARCHAR) AS answer,
+       coalesce((SELECT list(d.text ORDER BY h.rank) FROM hits h JOIN documents d ON d.doc_id = h.chunk_id
+                 WHERE h.question_id = e.vec_id), []) AS contexts,
+       CAST(NULL AS VARCHAR) AS ground_truth
+FROM embeddings e JOIN documents qd ON qd.doc_id = e.vec_id""")
+def eval_dataset(spark, d):
+    hits = _emb_hits(spark, d, 5).join(_docs_meta(spark, d), "chunk_id")
+    return EV.eval_dataset(_emb_questions(spark, d), hits)
+
+
+# --- quality metrics (A5-A10, W4, T15, T17) --------------------------------
+
+def _label_verdicts(spark, d):
+    lab = table(spark, d, "labels")
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return (lab.join(docs, "doc_id")
+            .select(F.col("source").alias("question_id"), F.col("doc_id").alias("claim_no"),
+                    F.col("quality").alias("supported"),
+                    (F.lit(1) - F.col("toxic")).alias("attributed")))
+
+
+@register("metric_faithfulness", """
+SELECT d.source AS question_id, round(avg(CAST(l.quality AS DOUBLE)), 6) AS faithfulness
+FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
+def metric_faithfulness(spark, d):
+    f = M.faithfulness(_label_verdicts(spark, d))
+    return f.select("question_id", F.round("faithfulness", 6).alias("faithfulness"))
+
+
+@register("metric_context_recall", """
+SELECT d.source AS question_id, round(avg(CAST(1 - l.toxic AS DOUBLE)), 6) AS context_recall
+FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
+def metric_context_recall(spark, d):
+    r = M.context_recall(_label_verdicts(spark, d))
+    return r.select("question_id", F.round("context_recall", 6).alias("context_recall"))
+
+
+def _judged_hits(spark, d, k=5):
+    e = table(spark, d, "embeddings")
+    hits = _emb_hits(spark, d, k)
+    lq = e.select(F.col("vec_id").alias("question_id"), F.col("label").alias("lq"))
+    lv = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("lv"))
+    return (hits.join(lq, "question_id").join(lv, "chunk_id")
+            .withColumn("relevant", (F.col("lq") == F.col("lv")).cast("int")))
+
+
+_PRECISION_SQL = f"""{_hits_sql(5)},
+j AS (SELECT h.question_id, h.rank, CASE WHEN lq.label = lv.label THEN 1.0 ELSE 0.0 END AS rel
+      FROM hits h JOIN embeddings lq ON lq.vec_id = h.question_id JOIN embeddings lv ON lv.vec_id = h.chunk_id),
+p AS (SELECT *, sum(rel) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rank AS prec FROM j),
+cp AS (SELECT question_id, sum(prec * rel) / greatest(sum(rel), 1.0) AS context_precision FROM p GROUP BY question_id)"""
+
+
+@register("metric_context_precision", f"""
+WITH {_PRECISION_SQL}
+SELECT question_id, round(context_precision, 6) AS context_precision FROM cp""")
+def metric_context_precision(spark, d):
+    cp = M.context_precision(_judged_hits(spark, d))
+    return cp.select("question_id", F.round("context_precision", 6).alias("context_precision"))
+
+
+_RELEVANCY_SQL = f"""{_hits_sql(3)},
+ar AS (SELECT h.question_id,
+              avg({_dot('q.embedding', 'v.embedding')} /
+                  (sqrt({_dot('q.embedding', 'q.embedding')}) * sqrt({_dot('v.embedding', 'v.embedding')}))) AS answer_relevancy
+       FROM hits h JOIN embeddings q ON q.vec_id = h.question_id JOIN embeddings v ON v.vec_id = h.chunk_id
+       GROUP BY h.question_id)"""
+
+
+def _relevancy(spark, d):
+    e = table(spark, d, "embeddings")
+    gen = _emb_hits(spark, d, 3, carry=["vector"]).select(
+        "question_id", F.col("rank").alias("gen_no"), "vector")
+    qv = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
+    return M.answer_relevancy(gen, qv)
+
+
+@register("metric_answer_relevancy", f"""
+WITH {_RELEVANCY_SQL}
+SELECT question_id, round(answer_relevancy, 6) AS answer_relevancy FROM ar""")
+def metric_answer_relevancy(spark, d):
+    return _relevancy(spark, d).select("question_id",
+                                       F.round("answer_relevancy", 6).alias("answer_relevancy"))
+
+
+@register("metric_gate", f"""
+WITH {_PRECISION_SQL}, {_RELEVANCY_SQL.replace(_hits_sql(3), 'hits3 AS (SELECT * FROM hits WHERE rank <= 3)').replace('FROM hits h', 'FROM hits3 h')},
+f AS (SELECT avg(CAST(l.quality AS DOUBLE)) AS v FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source),
+r AS (SELECT avg(CAST(1 - l.toxic AS DOUBLE)) AS v FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source),
+means AS (
+  SELECT 'faithfulness' AS metric, avg(v) AS mean FROM f
+  UNION ALL SELECT 'context_recall', avg(v) FROM r
+  UNION ALL SELECT 'context_precision', avg(context_precision) FROM cp
+  UNION ALL SELECT 'answer_relevancy', avg(answer_relevancy) FROM ar)
+SELECT metric, round(mean, 6) AS mean,
+       CASE metric WHEN 'faithfulness' THEN CAST(0.8 AS DOUBLE)
+                   WHEN 'context_precision' THEN CAST(0.5 AS DOUBLE) END AS threshold,
+       CASE WHEN metric IN ('faithfulness', 'context_precision')
+            THEN coalesce(mean >= CASE metric WHEN 'faithfulness' THEN 0.8 ELSE 0.5 END, false) END AS passed
+FROM means""")
+def metric_gate(spark, d):
+    parts = [
+        M.metric_means(M.faithfulness(_label_verdicts(spark, d)), ["faithfulness"]),
+        M.metric_means(M.context_recall(_label_verdicts(spark, d)), ["context_recall"]),
+        M.metric_means(M.context_precision(_judged_hits(spark, d)), ["context_precision"]),
+        M.metric_means(_relevancy(spark, d), ["answer_relevancy"]),
+    ]
+    means = parts[0]
+    for p in parts[1:]:
+        means = means.unionByName(p)
+    gate = M.quality_gate(means)
+    return gate.select("metric", F.round("mean", 6).alias("mean"), "threshold", "passed")
