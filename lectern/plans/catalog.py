@@ -460,3 +460,152 @@ def metric_gate(spark, d):
         means = means.unionByName(p)
     gate = M.quality_gate(means)
     return gate.select("metric", F.round("mean", 6).alias("mean"), "threshold", "passed")
+
+
+# --- chunking (T9, T10, W2, U3, P6, P7) ------------------------------------
+
+from ..functions.embedder import FailingEmbedder, HashingEmbedder  # noqa: E402
+from ..operators import chunk as CH  # noqa: E402
+from ..operators import embed as EMB  # noqa: E402
+from ..sources import index_store as IX  # noqa: E402
+
+DOCS_SOURCE = "documents"
+
+
+def documents_as_records(docs):
+    """Map ``documents`` onto the record model: the text is the long
+    description, the source is kept as the url, ``doc_id`` is the id and
+    the order key."""
+    return docs.select(F.col("doc_id").cast("string").alias("id"),
+                       F.col("text").alias("description_complete"),
+                       F.col("source").alias("url"),
+                       F.col("doc_id").alias("_ord"))
+
+
+def _collapsed_docs(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("_ord"),
+                       F.col("source").alias("url"), X.squash_spaces("text").alias("text"))
+
+
+@register("chunk_all")
+def chunk_all(spark, d):
+    """Whitespace-collapsed documents split at 1000/100 (rows-only check;
+    the splitter is tested against golden fixtures and properties)."""
+    ch = CH.chunk_records(_collapsed_docs(spark, d), "text", "id", "_ord", 1000, 100,
+                          DOCS_SOURCE)
+    return ch.select("chunk_id", F.col("_ord").alias("doc_id"), "chunk_no", "text")
+
+
+@register("chunk_metadata", f"""
+SELECT CAST(doc_id AS VARCHAR) || '_0' AS chunk_id, CAST(doc_id AS VARCHAR) AS id,
+       source AS url, 'documents' AS source, CAST(0 AS BIGINT) AS chunk_no
+FROM documents WHERE {O.squash_spaces('text')} <> ''""")
+def chunk_metadata(spark, d):
+    ch = CH.chunk_records(_collapsed_docs(spark, d), "text", "id", "_ord", 1000, 100,
+                          DOCS_SOURCE)
+    return ch.filter(F.col("chunk_no") == 0).select("chunk_id", "id", "url", "source", "chunk_no")
+
+
+# --- embedding, index (M1, U2, A1, A3, J1, J4, S5-S7) -----------------------
+
+# Texts that the stand-in service refuses (a whole batch then fails).
+REFUSED = r"(?i)\b(password|secret|api[ _-]?key)\b"
+
+
+@register("embed_batches")
+def embed_batches(spark, d):
+    """M1 over all chunks; batches holding a refused text fail and their
+    rows keep a null vector and an error (rows-only check)."""
+    ch = CH.chunk_records(_collapsed_docs(spark, d), "text", "id", "_ord", 1000, 100,
+                          DOCS_SOURCE)
+    emb = EMB.embed_batches(ch, FailingEmbedder(HashingEmbedder(64), REFUSED), "text")
+    return emb.select("chunk_id", F.col("vector").isNotNull().alias("has_vector"), "error")
+
+
+@register("index_complete", """
+SELECT CAST(count(*) AS BIGINT) AS chunks, CAST(count(e.vec_id) AS BIGINT) AS with_vector,
+       CAST(count(*) - count(e.vec_id) AS BIGINT) AS missing,
+       (count(*) > 0 AND count(*) = count(e.vec_id)) AS complete
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND e.embedding IS NOT NULL""")
+def index_complete(spark, d):
+    """Documents as chunks, embeddings as their vectors."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"),
+                                                F.col("embedding").alias("vector"))
+    missing = IX.missing_vectors(chunks, vecs).select("chunk_id", F.lit(1).alias("_m"))
+    j = chunks.join(missing, "chunk_id", "left")
+    return j.agg(F.count(F.lit(1)).alias("chunks"),
+                 F.count(F.when(F.col("_m").isNull(), 1)).alias("with_vector"),
+                 F.count("_m").alias("missing")) \
+        .withColumn("complete", (F.col("chunks") > 0) & (F.col("missing") == 0))
+
+
+@register("index_roundtrip", """
+SELECT vec_id AS chunk_id, label, CAST(len(embedding) AS INTEGER) AS dim,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm2
+FROM embeddings""")
+def index_roundtrip(spark, d):
+    """S5 write a version, S6 read the published one back, J1 rows keyed."""
+    from ..functions.vectors import dot
+    from ..session import scratch_path
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"),
+                                                F.col("embedding").alias("vector"), "label")
+    path = scratch_path(spark, "index-roundtrip")
+    rep = IX.publish(vecs, path, "testdata-embeddings", 64)
+    if not rep.published:
+        raise RuntimeError(f"index not published: {rep.reason}")
+    idx = IX.load(spark, path, "testdata-embeddings", 64)
+    return idx.select("chunk_id", "label", F.size("vector").cast("int").alias("dim"),
+                      F.round(dot("vector", "vector"), 6).alias("norm2"))
+
+
+# --- questions (P9) ---------------------------------------------------------
+
+@register("questions_valid", f"""
+SELECT conv_id, turn,
+       CASE WHEN text IS NULL OR regexp_matches(text, {O.q(X.BLANK)}) THEN 400 ELSE 200 END AS status
+FROM conversations WHERE role = 'user'""")
+def questions_valid(spark, d):
+    conv = table(spark, d, "conversations").filter(F.col("role") == "user")
+    return P.with_status(conv, "text").select("conv_id", "turn", "status")
+
+
+# --- end to end (X1 + X3, X2) -----------------------------------------------
+
+def _questions(spark, d):
+    conv = table(spark, d, "conversations").filter(F.col("role") == "user")
+    return conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
+                       F.col("text").alias("question"))
+
+
+def _built_index(spark, d, dim=128):
+    from ..plans.build import build_index
+    from ..session import scratch_path
+    emb = HashingEmbedder(dim)
+    path = scratch_path(spark, "index")
+    rep = build_index(documents_as_records(table(spark, d, "documents")), path, emb,
+                      source=DOCS_SOURCE)
+    if not rep.ok:
+        raise RuntimeError(f"index build failed: {rep.reason}")
+    return IX.load(spark, path, emb.name, emb.dim), emb
+
+
+@register("index_and_search")
+def index_and_search(spark, d):
+    """Flagship: build the index from ``documents`` (clean, filter, dedup,
+    chunk, embed, verify, publish), then search it with every user turn of
+    ``conversations`` (k = 3) and return the display rows."""
+    from ..plans.serve import search
+    idx, emb = _built_index(spark, d)
+    return search(_questions(spark, d), idx, emb, 3)
+
+
+@register("answer_prompts")
+def answer_prompts(spark, d):
+    """X2 without a generator: every user turn gets its k = 3 context and
+    prompt (rows-only)."""
+    from ..plans.serve import answer
+    idx, emb = _built_index(spark, d)
+    prompts, _ = answer(_questions(spark, d), idx, emb, 3)
+    return prompts.select("question_id", "n_contexts", F.length("prompt").alias("prompt_chars"))
