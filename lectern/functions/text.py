@@ -11,12 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
-# Whitespace as Python's ``re`` ``\s`` understands it for str patterns
-# (ASCII controls 09-0D, 1C-1F, space, and the Unicode spaces). Java's
-# ``\s`` and RE2's ``\s`` are narrower, so the class is spelled out; the same
-# text is valid in Java and in RE2.
-WS_CLASS_BODY = (r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}"
-                 r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+# Whitespace as Python's ``re`` ``\s`` understands it for str patterns:
+# ASCII controls 09-0D and 1C-1F, U+0085, and the Unicode separators
+# (category Z: U+0020, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029,
+# U+202F, U+205F, U+3000). Java's and RE2's ``\s`` are narrower, so the
+# class is spelled out; ``\p{Z}`` is one category test in both engines and
+# several times faster in Java than listing the code points.
+WS_CLASS_BODY = r"\t\n\x0B\f\r\x1C-\x20\x{85}\p{Z}"
 # Characters kept by the cleaner besides letters, digits and whitespace.
 KEPT_PUNCTUATION = ".,'?!"
 KEPT_LETTERS = "àâéèêëîïôùûüçÀÂÉÈÊËÎÏÔÙÛÜÇ"
