@@ -198,10 +198,12 @@ def _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema,
     n_index = idx.count()
     groups = max(1, math.ceil(n_index / group_rows))
     blocks = max(1, math.ceil(nq * dim * 4 / broadcast_max_bytes))
-    left = (idx.withColumn("_g", F.pmod(F.xxhash64(F.col(i_id)), F.lit(groups)))
-            .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    right = (qs.withColumn("_b", F.pmod(F.xxhash64(F.col(q_id)), F.lit(blocks)))
-             .withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    # Both sides must carry the keys with the same type, or equal keys
+    # would hash to different partitions and never meet.
+    left = (idx.withColumn("_g", F.pmod(F.xxhash64(F.col(i_id)), F.lit(groups)).cast("long"))
+            .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
+    right = (qs.withColumn("_b", F.pmod(F.xxhash64(F.col(q_id)), F.lit(blocks)).cast("long"))
+             .withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
 
     def score(left_t: pa.Table, right_t: pa.Table) -> pa.Table:
         empty = pa.Table.from_pylist([], schema=_arrow_schema(left_t, right_t, q_id, i_id, carry))
