@@ -46,6 +46,12 @@ def read_landed_pages(spark: SparkSession, path: str,
            .options(**JSON_TIME_OPTIONS)
            .json(path)
            .withColumn("_file", F.input_file_name()))
+    return normalise_pages(raw)
+
+
+def normalise_pages(raw: DataFrame) -> DataFrame:
+    """Recover region and offset of broken pages from their raw text or
+    file name (also used by the streaming reader)."""
     from_text = F.regexp_extract(F.col(CORRUPT), r'"offset"\s*:\s*(\d+)', 1)
     from_name = F.regexp_extract("_file", r"(\d+)\.json[^/]*$", 1)
     region_text = F.regexp_extract(F.col(CORRUPT), r'"region"\s*:\s*"([^"]*)"', 1)
