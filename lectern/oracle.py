@@ -74,3 +74,66 @@ def clean_text_ctes(table: str, key: str, col: str, out: str = "clean",
     return (f"_m AS (SELECT {key}{ex}, {strip_markup(f"coalesce(CAST({col} AS VARCHAR), '')")} AS m FROM {table}), "
             f"_d AS (SELECT {key}{ex}, {decode_references('m')} AS d FROM _m), "
             f"_c AS (SELECT {key}{ex}, {after_markup('d')} AS {out} FROM _d)")
+
+
+def _pieces_sql(t: str, sep: str) -> str:
+    """Pieces of ``t`` split at ``sep`` (a column), each separator kept at
+    the start of the following piece, empty pieces dropped; '' -> chars."""
+    return (f"CASE WHEN {sep} = '' THEN list_transform(range(1, length({t}) + 1), lambda i: substr({t}, i, 1)) "
+            f"ELSE list_filter(list_transform(string_split({t}, {sep}), "
+            f"lambda x, i: CASE WHEN i = 1 THEN x ELSE {sep} || x END), lambda x: x <> '') END")
+
+
+def splitter_chunks_sql(src: str, size: int, overlap: int) -> str:
+    """CTEs ending in ``chunks(doc_id, chunk_no, text)``: the recursive
+    character splitter with separators '. ', ' ', '' (whitespace-collapsed
+    text has no newlines) over ``src(doc_id, t)``.
+
+    Pieces form a tree (a piece of ``size`` or more is split again with the
+    next separators); runs of short sibling pieces are merge groups. Each
+    group is merged by a recursive CTE that steps from one chunk to the
+    next with prefix sums: the chunk starting at piece ``st`` ends at the
+    last piece that keeps it within ``size``; the next chunk starts at the
+    first piece whose suffix fits the overlap rule."""
+    S, Ov = int(size), int(overlap)
+    return f"""
+s1 AS (SELECT doc_id, t, CASE WHEN strpos(t, '. ') > 0 THEN '. ' WHEN strpos(t, ' ') > 0 THEN ' ' ELSE '' END AS sep
+       FROM {src} WHERE t <> ''),
+l1x AS (SELECT doc_id, sep, {_pieces_sql('t', 'sep')} AS pl FROM s1),
+l1 AS (SELECT doc_id, sep, unnest(pl) AS p, unnest(range(1, len(pl) + 1)) AS k FROM l1x),
+l1g AS (SELECT *, length(p) >= {S} AS big,
+               sum(CASE WHEN length(p) >= {S} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS nb FROM l1),
+l2s AS (SELECT doc_id, k, p AS t, CASE WHEN sep = '. ' AND strpos(p, ' ') > 0 THEN ' ' ELSE '' END AS sep
+        FROM l1g WHERE big),
+l2x AS (SELECT doc_id, k, sep, {_pieces_sql('t', 'sep')} AS pl FROM l2s),
+l2 AS (SELECT doc_id, k, sep, unnest(pl) AS p, unnest(range(1, len(pl) + 1)) AS j FROM l2x),
+l2g AS (SELECT *, length(p) >= {S} AND sep <> '' AS big,
+               sum(CASE WHEN length(p) >= {S} AND sep <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, k ORDER BY j) AS nb FROM l2),
+l3x AS (SELECT doc_id, k, j, {_pieces_sql('p', "''")} AS pl FROM l2g WHERE big),
+l3 AS (SELECT doc_id, k, j, unnest(pl) AS p, unnest(range(1, len(pl) + 1)) AS c FROM l3x),
+atoms AS (
+  SELECT doc_id, '1:' || nb AS grp, k AS o1, 0 AS o2, 0 AS o3, p FROM l1g WHERE NOT big
+  UNION ALL SELECT doc_id, '2:' || k || ':' || nb, k, j, 0, p FROM l2g WHERE NOT big
+  UNION ALL SELECT doc_id, '3:' || k || ':' || j, k, j, c, p FROM l3),
+grp AS (SELECT doc_id, grp, min([o1, o2, o3]) AS gord,
+               list(p ORDER BY o1, o2, o3) AS pcs,
+               list(CAST(length(p) AS BIGINT) ORDER BY o1, o2, o3) AS lens
+        FROM atoms GROUP BY doc_id, grp),
+grp2 AS (SELECT doc_id, grp, gord, pcs, len(pcs) AS n,
+                [CAST(0 AS BIGINT)] || list_transform(range(1, len(lens) + 1), lambda i: list_sum(lens[1:i])) AS cb
+         FROM grp),
+chain AS (
+  WITH RECURSIVE ch(doc_id, grp, step, st, en, n, cb, pcs) AS (
+    SELECT doc_id, grp, 1, 1, len(list_filter(cb[2:], lambda x: x <= {S})), n, cb, pcs FROM grp2
+    UNION ALL
+    SELECT doc_id, grp, step + 1, st2,
+           len(list_filter(cb[2:], lambda x: x <= cb[st2] + {S})), n, cb, pcs
+    FROM (SELECT *, list_min(list_filter(range(st, en + 2), lambda q:
+                NOT ((cb[en + 1] - cb[q]) > {Ov}
+                     OR ((cb[en + 1] - cb[q]) + (cb[en + 2] - cb[en + 1]) > {S} AND (cb[en + 1] - cb[q]) > 0)))) AS st2
+          FROM ch WHERE en < n))
+  SELECT doc_id, grp, step, trim(array_to_string(pcs[st:en], ''), ' ') AS text FROM ch),
+chunks AS (
+  SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY g.gord, c.step) - 1 AS BIGINT) AS chunk_no,
+         c.text
+  FROM chain c JOIN grp2 g USING (doc_id, grp) WHERE c.text <> '')"""

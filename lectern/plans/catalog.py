@@ -488,10 +488,14 @@ def _collapsed_docs(spark, d):
                        F.col("source").alias("url"), X.squash_spaces("text").alias("text"))
 
 
-@register("chunk_all")
+@register("chunk_all", f"""
+WITH src AS (SELECT doc_id, {O.squash_spaces('text')} AS t FROM documents),
+{O.splitter_chunks_sql('src', 1000, 100)}
+SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, doc_id, chunk_no, text
+FROM chunks""")
 def chunk_all(spark, d):
-    """Whitespace-collapsed documents split at 1000/100 (rows-only check;
-    the splitter is tested against golden fixtures and properties)."""
+    """Whitespace-collapsed documents split at 1000/100; the oracle is the
+    same splitter written as a recursive SQL query."""
     ch = CH.chunk_records(_collapsed_docs(spark, d), "text", "id", "_ord", 1000, 100,
                           DOCS_SOURCE)
     return ch.select("chunk_id", F.col("_ord").alias("doc_id"), "chunk_no", "text")
