@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 DEFAULT_GROUP_ROWS = 200_000
 _BLOCK_CELLS = 4_000_000  # questions x vectors scored at once
+SALT_FROM_TASKS = 256     # scoring tasks above which the final top-k is two-level
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +132,21 @@ def _emit(tk: TopK, qids: pa.Array, q_id: str, i_id: str, carry: list[str]):
     return pa.Table.from_arrays(arrays, names=[q_id, i_id, "distance"] + carry)
 
 
-def _final_rank(cands: DataFrame, k: int, q_id: str, i_id: str) -> DataFrame:
-    w = Window.partitionBy(q_id).orderBy(F.col("distance").asc(), F.col(i_id).asc())
+def _final_rank(cands: DataFrame, k: int, q_id: str, i_id: str, tasks: int) -> DataFrame:
+    """Top k per question over the per-task candidates.
+
+    Every scoring task sends k rows per question, so one question has
+    ``k x tasks`` candidates. With many tasks they are first reduced per
+    (question, salt) bucket, which bounds every window group near
+    ``k x sqrt(tasks)`` instead of letting it grow with the index."""
+    order = [F.col("distance").asc(), F.col(i_id).asc()]
+    if tasks > SALT_FROM_TASKS:
+        salts = int(math.ceil(math.sqrt(tasks)))
+        salted = cands.withColumn("_s", F.pmod(F.xxhash64(F.col(i_id)), F.lit(salts)))
+        w1 = Window.partitionBy(q_id, "_s").orderBy(*order)
+        cands = (salted.withColumn("_r", F.row_number().over(w1))
+                 .filter(F.col("_r") <= k).drop("_s", "_r"))
+    w = Window.partitionBy(q_id).orderBy(*order)
     ranked = cands.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= k)
 
@@ -171,7 +185,8 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
                            nq, broadcast_max_bytes, group_rows)
     else:
         raise ValueError(strategy)
-    return _final_rank(cands, k, q_id, i_id).select(q_id, "rank", i_id, "distance", *carry)
+    tasks = cands.rdd.getNumPartitions()
+    return _final_rank(cands, k, q_id, i_id, tasks).select(q_id, "rank", i_id, "distance", *carry)
 
 
 def _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema):

@@ -52,3 +52,17 @@ def test_matches_brute_force(spark, strategy):
     for r in hits.orderBy("question_id", "rank").collect():
         got.setdefault(r.question_id, []).append(r.chunk_id)
     assert got == expect
+
+
+def test_two_level_final_rank_matches(spark, monkeypatch):
+    from lectern.operators import knn as K
+    monkeypatch.setattr(K, "SALT_FROM_TASKS", 2)
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet").repartition(9)
+    rows = e.orderBy("vec_id").collect()
+    expect = _brute([r.embedding for r in rows], [r.vec_id for r in rows], 3)
+    qs = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    got = {}
+    for r in knn(qs, idx, 3).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append(r.chunk_id)
+    assert got == expect
