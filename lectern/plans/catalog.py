@@ -613,3 +613,21 @@ def answer_prompts(spark, d):
     idx, emb = _built_index(spark, d)
     prompts, _ = answer(_questions(spark, d), idx, emb, 3)
     return prompts.select("question_id", "n_contexts", F.length("prompt").alias("prompt_chars"))
+
+
+@register("chunk_documents", f"""
+WITH {O.clean_text_ctes('documents', 'doc_id', 'text', 'clean')},
+f AS (SELECT doc_id, clean FROM _c WHERE clean <> '' AND length(clean) >= 200),
+keep AS (SELECT min(doc_id) AS doc_id FROM f GROUP BY {O.fingerprint_text('clean')}),
+src AS (SELECT f.doc_id, f.clean AS t FROM f JOIN keep USING (doc_id)),
+{O.splitter_chunks_sql('src', 1000, 100)}
+SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, doc_id, chunk_no, text,
+       'documents' AS source
+FROM chunks""")
+def chunk_documents(spark, d):
+    """The text stages of the index build (X1 before embedding) over all
+    documents: clean (T1-T6, P4), length filter (P5), dedup keeping the
+    first copy (D1/D2), chunk with metadata (T9/T10/P6/P7)."""
+    from ..plans.build import chunks_from_records
+    ch = chunks_from_records(documents_as_records(table(spark, d, "documents")), source=DOCS_SOURCE)
+    return ch.select("chunk_id", F.col("_ord").alias("doc_id"), "chunk_no", "text", "source")
