@@ -137,3 +137,20 @@ chunks AS (
   SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY g.gord, c.step) - 1 AS BIGINT) AS chunk_no,
          c.text
   FROM chain c JOIN grp2 g USING (doc_id, grp) WHERE c.text <> '')"""
+
+
+def bow_vectors_sql(src: str, key: str, text: str, dim: int, out: str) -> str:
+    """CTEs ending in ``{out}({key}, v FLOAT[dim])``: the stand-in
+    ``HashingEmbedder`` applied to ``{src}.{text}`` (every row of ``src``
+    gets a vector; a text without tokens gets zeros)."""
+    from .functions.embedder import TOKEN_CLASS
+    D = int(dim)
+    return f"""
+{out}_t AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), {q(TOKEN_CLASS)})) AS tok FROM {src}),
+{out}_c AS (SELECT {key}, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) % {D} AS b, count(*) AS c
+            FROM {out}_t GROUP BY ALL),
+{out}_n AS (SELECT {key}, CAST(sqrt(sum(c * c)) AS FLOAT) AS nrm, map_from_entries(list((b, c))) AS m
+            FROM {out}_c GROUP BY {key}),
+{out} AS (SELECT s.{key}, CASE WHEN n.nrm IS NULL THEN list_transform(range(0, {D}), lambda i: CAST(0 AS FLOAT))
+                 ELSE list_transform(range(0, {D}), lambda i: CAST(coalesce(n.m[i], 0) / n.nrm AS FLOAT)) END AS v
+          FROM {src} s LEFT JOIN {out}_n n USING ({key}))"""

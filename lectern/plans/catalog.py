@@ -575,6 +575,31 @@ def questions_valid(spark, d):
     return P.with_status(conv, "text").select("conv_id", "turn", "status")
 
 
+# The index the end-to-end queries build, restated in SQL: the document
+# chunks (``ck``) of X1's text stages, their stand-in vectors (``cv``), the
+# valid user turns (``qs``) with theirs (``qv``), and the exact top 3
+# (``hits``) by squared L2 with ties broken by chunk id.
+FLAGSHIP_DIM = 128
+_DOC_CHUNKS_SQL = f"""{O.clean_text_ctes('documents', 'doc_id', 'text', 'clean')},
+f AS (SELECT doc_id, clean FROM _c WHERE clean <> '' AND length(clean) >= 200),
+keep AS (SELECT min(doc_id) AS doc_id FROM f GROUP BY {O.fingerprint_text('clean')}),
+src AS (SELECT f.doc_id, f.clean AS t FROM f JOIN keep USING (doc_id)),
+{O.splitter_chunks_sql('src', 1000, 100)},
+ck AS (SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, doc_id, chunk_no, text
+       FROM chunks)"""
+_SEARCH_SQL = f"""{_DOC_CHUNKS_SQL},
+{O.bow_vectors_sql('ck', 'chunk_id', 'text', FLAGSHIP_DIM, 'cv')},
+qs AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, text AS question
+       FROM conversations WHERE role = 'user' AND NOT (text IS NULL OR regexp_matches(text, {O.q(X.BLANK)}))),
+{O.bow_vectors_sql('qs', 'question_id', 'question', FLAGSHIP_DIM, 'qv')},
+hits AS (
+  SELECT question_id, chunk_id, distance, rank FROM (
+    SELECT question_id, chunk_id, distance,
+           row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank
+    FROM (SELECT q.question_id, c.chunk_id, {_sq('q.v', 'c.v')} AS distance FROM qv q CROSS JOIN cv c))
+  WHERE rank <= 3)"""
+
+
 # --- end to end (X1 + X3, X2) -----------------------------------------------
 
 def _questions(spark, d):
@@ -583,7 +608,7 @@ def _questions(spark, d):
                        F.col("text").alias("question"))
 
 
-def _built_index(spark, d, dim=128):
+def _built_index(spark, d, dim=FLAGSHIP_DIM):
     from ..plans.build import build_index
     from ..session import scratch_path
     emb = HashingEmbedder(dim)
@@ -595,7 +620,11 @@ def _built_index(spark, d, dim=128):
     return IX.load(spark, path, emb.name, emb.dim), emb
 
 
-@register("index_and_search")
+@register("index_and_search", f"""
+WITH {_SEARCH_SQL}
+SELECT h.question_id, CAST(h.rank AS INTEGER) AS rank, printf('%.2f', 1.0 - h.distance) AS relevance,
+       'N/A' AS title, 'N/A' AS city, substr(c.text, 1, 200) || '...' AS preview
+FROM hits h JOIN ck c USING (chunk_id)""")
 def index_and_search(spark, d):
     """Flagship: build the index from ``documents`` (clean, filter, dedup,
     chunk, embed, verify, publish), then search it with every user turn of
@@ -605,7 +634,14 @@ def index_and_search(spark, d):
     return search(_questions(spark, d), idx, emb, 3)
 
 
-@register("answer_prompts")
+@register("answer_prompts", f"""
+WITH {_SEARCH_SQL},
+ctx AS (SELECT h.question_id, count(*) AS n, string_agg(c.text, chr(10) || chr(10) ORDER BY h.rank) AS context
+        FROM hits h JOIN ck c USING (chunk_id) GROUP BY h.question_id)
+SELECT q.question_id, CAST(ctx.n AS INTEGER) AS n_contexts,
+       CAST(length({O.q(PRM.HEAD)} || coalesce(ctx.context, '') || {O.q(PRM.MIDDLE)} || q.question || {O.q(PRM.TAIL)})
+            AS INTEGER) AS prompt_chars
+FROM qs q LEFT JOIN ctx USING (question_id)""")
 def answer_prompts(spark, d):
     """X2 without a generator: every user turn gets its k = 3 context and
     prompt (rows-only)."""
@@ -616,14 +652,8 @@ def answer_prompts(spark, d):
 
 
 @register("chunk_documents", f"""
-WITH {O.clean_text_ctes('documents', 'doc_id', 'text', 'clean')},
-f AS (SELECT doc_id, clean FROM _c WHERE clean <> '' AND length(clean) >= 200),
-keep AS (SELECT min(doc_id) AS doc_id FROM f GROUP BY {O.fingerprint_text('clean')}),
-src AS (SELECT f.doc_id, f.clean AS t FROM f JOIN keep USING (doc_id)),
-{O.splitter_chunks_sql('src', 1000, 100)}
-SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, doc_id, chunk_no, text,
-       'documents' AS source
-FROM chunks""")
+WITH {_DOC_CHUNKS_SQL}
+SELECT chunk_id, doc_id, chunk_no, text, 'documents' AS source FROM ck""")
 def chunk_documents(spark, d):
     """The text stages of the index build (X1 before embedding) over all
     documents: clean (T1-T6, P4), length filter (P5), dedup keeping the
