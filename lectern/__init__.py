@@ -7,3 +7,16 @@ broadcasts.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+# Executors run this package's Arrow and pandas steps (splitter, embedder,
+# kNN scoring). Pickling its functions and classes by value ships that code
+# with each task, so executors need no copy of the package, no
+# ``--py-files`` and no PYTHONPATH.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover - older cloudpickle
+    pass
