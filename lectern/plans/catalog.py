@@ -385,9 +385,9 @@ def metric_context_recall(spark, d):
     return r.select("question_id", F.round("context_recall", 6).alias("context_recall"))
 
 
-def _judged_hits(spark, d, k=5):
+def _judged_hits(spark, d, k=5, hits=None):
     e = table(spark, d, "embeddings")
-    hits = _emb_hits(spark, d, k)
+    hits = _emb_hits(spark, d, k) if hits is None else hits
     lq = e.select(F.col("vec_id").alias("question_id"), F.col("label").alias("lq"))
     lv = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("lv"))
     return (hits.join(lq, "question_id").join(lv, "chunk_id")
@@ -417,9 +417,12 @@ ar AS (SELECT h.question_id,
        GROUP BY h.question_id)"""
 
 
-def _relevancy(spark, d):
+def _relevancy(spark, d, hits=None):
+    """A8 with the 3 nearest vectors as the generated questions; ``hits``
+    (with vectors, k >= 3) can be shared with another metric."""
     e = table(spark, d, "embeddings")
-    gen = _emb_hits(spark, d, 3, carry=["vector"]).select(
+    hits = _emb_hits(spark, d, 3, carry=["vector"]) if hits is None else hits
+    gen = hits.filter(F.col("rank") <= 3).select(
         "question_id", F.col("rank").alias("gen_no"), "vector")
     qv = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
     return M.answer_relevancy(gen, qv)
@@ -449,11 +452,17 @@ SELECT metric, round(mean, 6) AS mean,
             THEN coalesce(mean >= CASE metric WHEN 'faithfulness' THEN 0.8 ELSE 0.5 END, false) END AS passed
 FROM means""")
 def metric_gate(spark, d):
+    # One search serves both ranked metrics: the top 3 is a prefix of the
+    # top 5. The hits (k rows per question) are written once to the shared
+    # checkpoint folder, so the index is scanned once.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    hits5 = _emb_hits(spark, d, 5, carry=["vector"]).checkpoint(eager=True)
     parts = [
         M.metric_means(M.faithfulness(_label_verdicts(spark, d)), ["faithfulness"]),
         M.metric_means(M.context_recall(_label_verdicts(spark, d)), ["context_recall"]),
-        M.metric_means(M.context_precision(_judged_hits(spark, d)), ["context_precision"]),
-        M.metric_means(_relevancy(spark, d), ["answer_relevancy"]),
+        M.metric_means(M.context_precision(_judged_hits(spark, d, hits=hits5)), ["context_precision"]),
+        M.metric_means(_relevancy(spark, d, hits=hits5), ["answer_relevancy"]),
     ]
     means = parts[0]
     for p in parts[1:]:
