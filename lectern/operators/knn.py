@@ -10,6 +10,16 @@ its batches. Only ``k`` rows per question per task leave the task; the
 final top-k is a window rank per question (Spark plans a partial
 ``WindowGroupLimit`` before that small shuffle).
 
+Scoring reads only ids and vectors, and candidates carry only
+``(question, id, distance)``. Index columns the caller wants with the hits
+(text, metadata, vectors) are attached to the final ``questions x k`` hits
+by a join. With many scoring tasks, candidates outnumber hits by the task
+count, so carrying text through them would shuffle most of the corpus. The
+hits are written once to the shared checkpoint folder and measured. They
+are broadcast into a scan of the wanted columns only when their measured
+size fits ``broadcast_max_bytes``, else joined by a shuffle. Index ids must
+be unique (chunk ids are).
+
 Questions reach the tasks in one of two ways:
 
 * **broadcast** when ``count x dim x 4`` bytes fits ``broadcast_max_bytes``
@@ -65,10 +75,10 @@ def _exact(qm: np.ndarray, vm: np.ndarray) -> np.ndarray:
 class TopK:
     """Running exact top-k per question over streamed index batches."""
 
-    def __init__(self, qmat: np.ndarray, k: int, id_col: str, carry: list[str]):
+    def __init__(self, qmat: np.ndarray, k: int, id_col: str):
         self.q = qmat.astype(np.float32, copy=False)
         self.qn = np.einsum("ij,ij->i", self.q, self.q)
-        self.k, self.id_col, self.carry = k, id_col, carry
+        self.k, self.id_col = k, id_col
         self.dim = qmat.shape[1]
         self.state: pa.Table | None = None
 
@@ -95,11 +105,8 @@ class TopK:
         vi = np.concatenate(vi_all)
         dist = _exact(self.q[qi], v[vi])
         take = pa.array(rows[vi])
-        cols = {"_q": pa.array(qi.astype(np.int32)), "_id": tbl.column(self.id_col).take(take),
-                "_d": pa.array(dist)}
-        for c in self.carry:
-            cols[c] = tbl.column(c).take(take)
-        cand = pa.table(cols)
+        cand = pa.table({"_q": pa.array(qi.astype(np.int32)),
+                         "_id": tbl.column(self.id_col).take(take), "_d": pa.array(dist)})
         self.state = cand if self.state is None else pa.concat_tables([self.state, cand])
         self._prune()
 
@@ -114,22 +121,19 @@ class TopK:
         self.state = t.filter(pa.array(rank < self.k)).combine_chunks()
 
 
-def _out_schema(questions: DataFrame, index: DataFrame, q_id: str, i_id: str,
-                carry: list[str]) -> T.StructType:
+def _out_schema(questions: DataFrame, index: DataFrame, q_id: str, i_id: str) -> T.StructType:
     return T.StructType(
         [T.StructField(q_id, questions.schema[q_id].dataType),
          T.StructField(i_id, index.schema[i_id].dataType),
-         T.StructField("distance", T.DoubleType())]
-        + [T.StructField(c, index.schema[c].dataType) for c in carry])
+         T.StructField("distance", T.DoubleType())])
 
 
-def _emit(tk: TopK, qids: pa.Array, q_id: str, i_id: str, carry: list[str]):
+def _emit(tk: TopK, qids: pa.Array, q_id: str, i_id: str):
     if tk.state is None or tk.state.num_rows == 0:
         return None
     st = tk.state
-    arrays = [qids.take(st.column("_q")), st.column("_id"), st.column("_d")] + \
-             [st.column(c) for c in carry]
-    return pa.Table.from_arrays(arrays, names=[q_id, i_id, "distance"] + carry)
+    arrays = [qids.take(st.column("_q")), st.column("_id"), st.column("_d")]
+    return pa.Table.from_arrays(arrays, names=[q_id, i_id, "distance"])
 
 
 def _final_rank(cands: DataFrame, k: int, q_id: str, i_id: str, tasks: int) -> DataFrame:
@@ -167,29 +171,56 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
     qs = questions.select(q_id, q_vec).filter(F.col(q_vec).isNotNull())
     stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("dim")).first()
     nq, dim = int(stats["n"]), int(stats["dim"] or 0)
-    schema = _out_schema(questions, index, q_id, i_id, carry)
+    schema = _out_schema(questions, index, q_id, i_id)
     if nq == 0 or dim == 0:
         empty = index.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(1)).filter(F.lit(False)) \
-            .select(q_id, "rank", i_id, "distance", *carry)
+        empty = empty.withColumn("rank", F.lit(1)).filter(F.lit(False))
+        for c in carry:
+            empty = empty.withColumn(c, F.lit(None).cast(index.schema[c].dataType))
+        return empty.select(q_id, "rank", i_id, "distance", *carry)
     qbytes = nq * dim * 4
     if strategy == "auto":
         strategy = "broadcast" if qbytes <= broadcast_max_bytes else "grid"
-    idx = index.select(i_id, i_vec, *[c for c in carry if c != i_vec])
+    idx = index.select(i_id, i_vec)
     if strategy == "broadcast":
         if qbytes > broadcast_max_bytes:
             raise ValueError("questions exceed the broadcast bound")
-        cands = _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema)
+        cands = _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema)
     elif strategy == "grid":
-        cands = _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema,
+        cands = _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema,
                            nq, broadcast_max_bytes, group_rows)
     else:
         raise ValueError(strategy)
     tasks = cands.rdd.getNumPartitions()
-    return _final_rank(cands, k, q_id, i_id, tasks).select(q_id, "rank", i_id, "distance", *carry)
-
-
-def _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema):
+    hits = _final_rank(cands, k, q_id, i_id, tasks).select(q_id, "rank", i_id, "distance")
+    if not carry:
+        return hits
+    return _attach(hits, index, q_id, i_id, carry, broadcast_max_bytes)
+
+
+# Bytes of one hit row besides its two ids (row header, rank, distance and
+# the ids' offsets), used to bound the broadcast of measured hits.
+_HIT_ROW_OVERHEAD = 64
+
+
+def _attach(hits: DataFrame, index: DataFrame, q_id: str, i_id: str, carry: list[str],
+            broadcast_max_bytes: int) -> DataFrame:
+    """Index columns ``carry`` for each hit, joined on the (unique) id."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(hits.sparkSession)
+    hits = hits.checkpoint(eager=True)
+    size = hits.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.octet_length(F.col(q_id).cast("string"))).alias("lq"),
+        F.max(F.octet_length(F.col(i_id).cast("string"))).alias("li")).first()
+    n = int(size["n"])
+    row = _HIT_ROW_OVERHEAD + int(size["lq"] or 0) + int(size["li"] or 0)
+    small = F.broadcast(hits) if n * row <= broadcast_max_bytes else hits
+    meta = index.select(i_id, *carry)
+    return meta.join(small, i_id).select(q_id, "rank", i_id, "distance", *carry)
+
+
+def _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema):
     spark = idx.sparkSession
     qt = qs.toArrow()  # bounded: size checked by the caller
     rows, qmat = _matrix(qt.column(q_vec), dim)
@@ -198,17 +229,17 @@ def _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema):
 
     def score(batches):
         ids, mat = bc.value
-        tk = TopK(mat, k, i_id, carry)
+        tk = TopK(mat, k, i_id)
         for b in batches:
             tk.add(pa.Table.from_batches([b]), i_vec)
-        out = _emit(tk, ids, q_id, i_id, carry)
+        out = _emit(tk, ids, q_id, i_id)
         if out is not None:
             yield from out.to_batches()
 
     return idx.mapInArrow(score, schema)
 
 
-def _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema,
+def _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema,
                nq, broadcast_max_bytes, group_rows):
     n_index = idx.count()
     groups = max(1, math.ceil(n_index / group_rows))
@@ -221,23 +252,21 @@ def _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, carry, dim, schema,
              .withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
 
     def score(left_t: pa.Table, right_t: pa.Table) -> pa.Table:
-        empty = pa.Table.from_pylist([], schema=_arrow_schema(left_t, right_t, q_id, i_id, carry))
+        empty = pa.Table.from_pylist([], schema=_arrow_schema(left_t, right_t, q_id, i_id))
         if left_t.num_rows == 0 or right_t.num_rows == 0:
             return empty
         rows, qmat = _matrix(right_t.column(q_vec), dim)
         qids = right_t.column(q_id).combine_chunks().take(pa.array(rows))
-        tk = TopK(qmat, k, i_id, carry)
+        tk = TopK(qmat, k, i_id)
         tk.add(left_t, i_vec)
-        out = _emit(tk, qids, q_id, i_id, carry)
+        out = _emit(tk, qids, q_id, i_id)
         return empty if out is None else out.cast(empty.schema)
 
     return (left.groupBy("_g", "_b").cogroup(right.groupBy("_g", "_b"))
             .applyInArrow(score, schema))
 
 
-def _arrow_schema(left_t, right_t, q_id, i_id, carry):
-    fields = [pa.field(q_id, right_t.schema.field(q_id).type),
-              pa.field(i_id, left_t.schema.field(i_id).type),
-              pa.field("distance", pa.float64())]
-    fields += [pa.field(c, left_t.schema.field(c).type) for c in carry]
-    return pa.schema(fields)
+def _arrow_schema(left_t, right_t, q_id, i_id):
+    return pa.schema([pa.field(q_id, right_t.schema.field(q_id).type),
+                      pa.field(i_id, left_t.schema.field(i_id).type),
+                      pa.field("distance", pa.float64())])

@@ -45,12 +45,20 @@ def test_matches_brute_force(spark, strategy):
     rows = e.orderBy("vec_id").collect()
     expect = _brute([r.embedding for r in rows], [r.vec_id for r in rows], 4)
     qs = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
-    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"),
+                   (F.col("vec_id") * 10 + F.col("label")).alias("payload"))
+    # The grid bound is also below the hits' size, so the payload is
+    # attached by a shuffle join there and by a broadcast join otherwise.
     bound = 2048 if strategy == "grid" else 64 << 20
-    hits = knn(qs, idx, 4, strategy=strategy, broadcast_max_bytes=bound, group_rows=7)
+    hits = knn(qs, idx, 4, strategy=strategy, broadcast_max_bytes=bound, group_rows=7,
+               carry=["payload", "vector"])
+    labels = {r.vec_id: r.label for r in rows}
+    vectors = {r.vec_id: list(r.embedding) for r in rows}
     got = {}
     for r in hits.orderBy("question_id", "rank").collect():
         got.setdefault(r.question_id, []).append(r.chunk_id)
+        assert r.payload == r.chunk_id * 10 + labels[r.chunk_id]
+        assert list(r.vector) == vectors[r.chunk_id]
     assert got == expect
 
 
