@@ -32,20 +32,40 @@ def _code_to_text(n: str) -> str:
     return f"CASE WHEN {n} BETWEEN 1 AND 255 THEN chr(CAST({n} AS INTEGER)) ELSE ' ' END"
 
 
+def _number_to_text(digits: str, base: int) -> str:
+    s = f"ltrim({digits}, '0')"
+    width = 3 if base == 10 else 2
+    n = f"CAST({s} AS INTEGER)" if base == 10 else f"CAST('0x' || {s} AS INTEGER)"
+    return (f"CASE WHEN {s} = '' THEN ' ' WHEN length({s}) > {width} THEN ' ' "
+            f"ELSE ({_code_to_text(n)}) END")
+
+
 def decode_references(expr: str) -> str:
     """Same rule as ``functions.html.decode_references``; ``expr`` should be
     a column name (it is repeated)."""
-    name = f"regexp_extract(p, {q(H.NAMED_REF)}, 1)"
-    dec = f"regexp_extract(p, {q(H.DEC_REF)}, 1)"
-    hexa = f"regexp_extract(p, {q(H.HEX_REF)}, 1)"
-    rest = "substr(p, strpos(p, ';') + 1)"
-    piece = (f"CASE WHEN {name} <> '' THEN coalesce(({_entity_map_sql()})[{name}], '&' || {name}) || {rest} "
-             f"WHEN {dec} <> '' THEN ({_code_to_text(f'CAST({dec} AS BIGINT)')}) || {rest} "
-             f"WHEN {hexa} <> '' THEN ({_code_to_text(f'CAST(({q('0x')} || {hexa}) AS BIGINT)')}) || {rest} "
-             f"ELSE '&' || p END")
+    name = f"regexp_extract(p, {q(H.NAME_HEAD)}, 1)"
+    dec = f"regexp_extract(p, {q(H.DEC_HEAD)}, 1)"
+    hexa = f"regexp_extract(p, {q(H.HEX_HEAD)}, 1)"
     parts = f"string_split({expr}, '&')"
+
+    def after(n: str) -> str:
+        return f"substr(p, {n} + 1)"
+
+    def rest(a: str) -> str:
+        return f"(CASE WHEN starts_with({a}, ';') THEN substr({a}, 2) ELSE {a} END)"
+
+    def ended(a: str) -> str:
+        return f"({a} <> '' OR i < len({parts}) - 1)"
+
+    a_name, a_dec, a_hex = after(f"length({name})"), after(f"length({dec}) + 1"), after(f"length({hexa}) + 2")
+    piece = (f"CASE WHEN {name} <> '' AND {ended(a_name)} "
+             f"THEN coalesce(({_entity_map_sql()})[{name}], '&' || {name}) || {rest(a_name)} "
+             f"WHEN {dec} <> '' AND {ended(a_dec)} AND NOT regexp_matches({a_dec}, '^[a-fA-F]') "
+             f"THEN ({_number_to_text(dec, 10)}) || {rest(a_dec)} "
+             f"WHEN {hexa} <> '' AND {ended(a_hex)} THEN ({_number_to_text(hexa, 16)}) || {rest(a_hex)} "
+             f"ELSE '&' || p END")
     return (f"CASE WHEN strpos({expr}, '&') > 0 THEN ({parts})[1] || "
-            f"array_to_string(list_transform(({parts})[2:], lambda p: {piece}), '') "
+            f"array_to_string(list_transform(({parts})[2:], lambda p, i: {piece}), '') "
             f"ELSE {expr} END")
 
 
