@@ -81,6 +81,8 @@ class TopK:
         self.k, self.id_col = k, id_col
         self.dim = qmat.shape[1]
         self.state: pa.Table | None = None
+        # Exact k-th best distance so far per question (inf until k seen).
+        self.kth = np.full(len(self.q), np.inf)
 
     def add(self, tbl: pa.Table, vec_col: str):
         rows, v = _matrix(tbl.column(vec_col), self.dim)
@@ -97,12 +99,18 @@ class TopK:
                 kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
             else:
                 kth = d.max(axis=1)
+            # A vector can only enter the top k if it is within this
+            # batch's k best and no worse than the k-th best so far; the
+            # tighter bound leaves few candidates once the state is full.
+            kth = np.minimum(kth, self.kth[s:s + step])
             tol = tol_scale * (self.qn[s:s + step] + vn.max()) + 1e-12
             qi, vi = np.nonzero(d <= (kth + tol)[:, None])
             qi_all.append(qi + s)
             vi_all.append(vi)
         qi = np.concatenate(qi_all)
         vi = np.concatenate(vi_all)
+        if len(qi) == 0:
+            return
         dist = _exact(self.q[qi], v[vi])
         take = pa.array(rows[vi])
         cand = pa.table({"_q": pa.array(qi.astype(np.int32)),
@@ -118,6 +126,8 @@ class TopK:
         q = t.column("_q").to_numpy()
         starts = np.r_[0, np.nonzero(np.diff(q))[0] + 1]
         rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        full = rank == self.k - 1
+        self.kth[q[full]] = t.column("_d").to_numpy()[full]
         self.state = t.filter(pa.array(rank < self.k)).combine_chunks()
 
 

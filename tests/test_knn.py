@@ -74,3 +74,22 @@ def test_two_level_final_rank_matches(spark, monkeypatch):
     for r in knn(qs, idx, 3).orderBy("question_id", "rank").collect():
         got.setdefault(r.question_id, []).append(r.chunk_id)
     assert got == expect
+
+
+def test_many_small_batches_match(spark):
+    """Each scoring task streams many Arrow batches, so the running k-th
+    best prunes candidates between batches."""
+    from conftest import SF01
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    rows = e.orderBy("vec_id").collect()
+    expect = _brute([r.embedding for r in rows], [r.vec_id for r in rows], 5)
+    qs = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")).coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {}
+        for r in knn(qs, idx, 5, strategy="broadcast").orderBy("question_id", "rank").collect():
+            got.setdefault(r.question_id, []).append(r.chunk_id)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expect
