@@ -35,7 +35,7 @@ def _code_to_text(n: str) -> str:
 def _number_to_text(digits: str, base: int) -> str:
     s = f"ltrim({digits}, '0')"
     width = 3 if base == 10 else 2
-    n = f"CAST({s} AS INTEGER)" if base == 10 else f"CAST('0x' || {s} AS INTEGER)"
+    n = f"TRY_CAST({s} AS INTEGER)" if base == 10 else f"TRY_CAST('0x' || {s} AS INTEGER)"
     return (f"CASE WHEN {s} = '' THEN ' ' WHEN length({s}) > {width} THEN ' ' "
             f"ELSE ({_code_to_text(n)}) END")
 
