@@ -76,13 +76,17 @@ def fingerprint_text(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(col_or_name(c)), WS_RUN, " "))
 
 
-def fingerprint(c) -> Column:
+def fingerprint(c, squashed: bool = False) -> Column:
     """D1 as a fixed-width shuffle key: SHA-256 of the normalised text.
 
     Shuffling 64 hex characters instead of whole documents keeps the
-    dedup exchange small whatever the document length.
+    dedup exchange small whatever the document length. ``squashed`` says
+    the text already went through T5 (single spaces, stripped), as cleaned
+    text does; lower-casing adds no whitespace, so the whitespace pass is
+    skipped and the key is the same.
     """
-    return F.sha2(fingerprint_text(c), 256)
+    norm = F.lower(col_or_name(c)) if squashed else fingerprint_text(c)
+    return F.sha2(norm, 256)
 
 
 def is_blank(c) -> Column:

@@ -151,7 +151,7 @@ FROM f GROUP BY {O.fingerprint_text('clean')}""")
 def filter_and_dedup(spark, d):
     docs = table(spark, d, "documents")
     cleaned = docs.select("doc_id", H.clean_text(X.null_to_empty("text")).alias(schema.COMBINED_TEXT))
-    kept = D.filter_and_dedup(cleaned, schema.COMBINED_TEXT, "doc_id", 200)
+    kept = D.filter_and_dedup(cleaned, schema.COMBINED_TEXT, "doc_id", 200, squashed=True)
     return kept.select("doc_id", F.length(schema.COMBINED_TEXT).cast("long").alias("n_chars"))
 
 
