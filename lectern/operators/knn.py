@@ -174,7 +174,13 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
     """Hits ``(question_id, rank, chunk_id, distance, *carry)``: for each
     question its ``k`` nearest index rows (fewer when the index is
     smaller). Rows without a vector, or with a vector of another length,
-    are not searchable; a question without a vector gets no hits."""
+    are not searchable; a question without a vector gets no hits.
+
+    Both inputs are read more than once (the questions for the size check
+    and then the search, the index for its row count on the grid path and
+    for ``carry``), so pass stored tables or checkpoints, not lineages
+    with model calls in them; ``plans.serve.retrieve`` checkpoints the
+    question vectors for that reason."""
     if k < 1:
         raise ValueError("k must be >= 1")
     carry = [c for c in carry if c not in (i_id,)]
