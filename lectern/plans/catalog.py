@@ -596,7 +596,8 @@ src AS (SELECT f.doc_id, f.clean AS t FROM f JOIN keep USING (doc_id)),
 {O.splitter_chunks_sql('src', 1000, 100)},
 ck AS (SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, doc_id, chunk_no, text
        FROM chunks)"""
-_SEARCH_SQL = f"""{_DOC_CHUNKS_SQL},
+def _search_sql(k: int) -> str:
+    return f"""{_DOC_CHUNKS_SQL},
 {O.bow_vectors_sql('ck', 'chunk_id', 'text', FLAGSHIP_DIM, 'cv')},
 qs AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, text AS question
        FROM conversations WHERE role = 'user' AND NOT (text IS NULL OR regexp_matches(text, {O.q(X.BLANK)}))),
@@ -606,7 +607,10 @@ hits AS (
     SELECT question_id, chunk_id, distance,
            row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank
     FROM (SELECT q.question_id, c.chunk_id, {_sq('q.v', 'c.v')} AS distance FROM qv q CROSS JOIN cv c))
-  WHERE rank <= 3)"""
+  WHERE rank <= {k})"""
+
+
+_SEARCH_SQL = _search_sql(3)
 
 
 # --- end to end (X1 + X3, X2) -----------------------------------------------
@@ -670,3 +674,55 @@ def chunk_documents(spark, d):
     from ..plans.build import chunks_from_records
     ch = chunks_from_records(documents_as_records(table(spark, d, "documents")), source=DOCS_SOURCE)
     return ch.select("chunk_id", F.col("_ord").alias("doc_id"), "chunk_no", "text", "source")
+
+
+# --- evaluation job (X4) ----------------------------------------------------
+
+from ..functions.embedder import TOKEN_CLASS  # noqa: E402
+
+
+# Words shorter than this do not count for the stand-in judge (articles
+# and other short function words would make almost every context relevant).
+JUDGE_MIN_WORD = 4
+
+
+def _words(c):
+    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN_CLASS), 0)
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= JUDGE_MIN_WORD))
+
+
+def lexical_judge(ds):
+    """Stand-in judge derived from the data: a context is relevant to its
+    question when they share a word of ``JUDGE_MIN_WORD`` or more
+    characters (words as the stand-in embedder reads them). Returns the
+    ``relevant`` verdicts by rank."""
+    ctx = ds.select("question_id", _words(F.col("question")).alias("_qw"),
+                    F.posexplode("contexts").alias("_pos", "_ctx"))
+    return {"relevant": ctx.select(
+        "question_id", (F.col("_pos") + 1).alias("rank"),
+        F.arrays_overlap("_qw", _words(F.col("_ctx"))).cast("int").alias("relevant"))}
+
+
+@register("evaluate_job", f"""
+WITH {_search_sql(5)},
+j AS (SELECT h.question_id, h.rank,
+             CASE WHEN list_has_any(
+                    list_filter(regexp_extract_all(lower(q.question), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= 4),
+                    list_filter(regexp_extract_all(lower(c.text), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= 4))
+                  THEN 1.0 ELSE 0.0 END AS rel
+      FROM hits h JOIN ck c USING (chunk_id) JOIN qs q USING (question_id)),
+p AS (SELECT *, sum(rel) OVER (PARTITION BY question_id ORDER BY rank
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rank AS prec FROM j),
+cp AS (SELECT question_id, sum(prec * rel) / greatest(sum(rel), 1.0) AS context_precision
+       FROM p GROUP BY question_id)
+SELECT q.question_id, round(cp.context_precision, 6) AS context_precision
+FROM qs q LEFT JOIN cp USING (question_id)""")
+def evaluate_job(spark, d):
+    """X4 over the built index: every valid user turn is retrieved once
+    (k = 5), the evaluation dataset is built from those hits, the stand-in
+    judge rates each ranked context, and context precision (A9/W4) is
+    computed per question."""
+    from ..plans.evaluate import evaluate
+    idx, emb = _built_index(spark, d)
+    _, per_q, _, _ = evaluate(_questions(spark, d), idx, emb, k=5, judge=lexical_judge)
+    return per_q.select("question_id", F.round("context_precision", 6).alias("context_precision"))
