@@ -45,7 +45,8 @@ def test_knn_scores_ids_and_vectors_only(static):
 
 
 @pytest.mark.parametrize("key", ["knn_top5", "search_display", "context_assembly", "eval_dataset",
-                                 "metric_gate", "ingest_prefix", "chunk_documents", "index_complete"])
+                                 "metric_gate", "ingest_prefix", "chunk_documents", "index_complete",
+                                 "answer_prompts", "evaluate_job"])
 def test_no_pairwise_joins(static, key):
     plan = _plan(E.queries()[key](static, SF001))
     assert "CartesianProduct" not in plan
