@@ -707,8 +707,8 @@ def lexical_judge(ds):
 WITH {_search_sql(5)},
 j AS (SELECT h.question_id, h.rank,
              CASE WHEN list_has_any(
-                    list_filter(regexp_extract_all(lower(q.question), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= 4),
-                    list_filter(regexp_extract_all(lower(c.text), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= 4))
+                    list_filter(regexp_extract_all(lower(q.question), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= {JUDGE_MIN_WORD}),
+                    list_filter(regexp_extract_all(lower(c.text), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= {JUDGE_MIN_WORD}))
                   THEN 1.0 ELSE 0.0 END AS rel
       FROM hits h JOIN ck c USING (chunk_id) JOIN qs q USING (question_id)),
 p AS (SELECT *, sum(rel) OVER (PARTITION BY question_id ORDER BY rank
