@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import digest, duck  # noqa: E402
+from oracle_check import digest, duck, type_diff  # noqa: E402
 from conftest import SF01  # noqa: E402
 
 QUERIES = E.queries()
@@ -29,6 +29,7 @@ def test_matches_oracle(spark, con, key):
     dcols = [c[0] for c in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert not type_diff(df, con, ORACLES[key])
     assert len(rows) == len(drows)
     assert digest(df.columns, rows) == digest(dcols, drows)
 
