@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, topk
+from . import bpe, decontaminate, pii, secrets, topk, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -46,6 +46,124 @@ def op1(spark, d):
     return bpe_digests(read(spark, d, "documents"))
 
 
+# --- 2: secret scans ----------------------------------------------------------
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _secret_matches(kind: str, least: int) -> str:
+    pattern, group = secrets.PATTERNS[kind]
+    p = _sql_text(pattern)
+    return f"""SELECT row, {secrets.KINDS.index(kind)} AS kind, e - length(m) AS first, e AS last, v AS value
+      FROM (SELECT row, unnest(m) AS m, unnest(v) AS v,
+                   unnest(list_transform(range(1, len(m) + 1), lambda i:
+                       CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) AS BIGINT)
+                       + CAST(list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT))) AS e
+            FROM (SELECT row, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m,
+                         regexp_extract_all(text, {p}, {group}) AS v FROM d)) WHERE length(v) >= {least}"""
+
+
+_SECRET_NAMES = "[" + ", ".join(map(_sql_text, secrets.KINDS)) + "]"
+
+
+@register("op2_secrets", f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source FROM documents),
+c AS ({_secret_matches('assign', secrets.LEAST_ASSIGNED)} UNION ALL {_secret_matches('access', 1)} UNION ALL {_secret_matches('hex', 1)}),
+o AS (SELECT value, count(DISTINCT coalesce(source, '') || ':' || (source IS NULL)) AS n_owners FROM c JOIN d USING (row) GROUP BY value),
+v AS (SELECT DISTINCT row, CASE WHEN n_owners >= {secrets.EXAMPLE_OWNERS} THEN 4 ELSE 3 END AS kind, first, last
+      FROM c JOIN o USING (value)
+      WHERE n_owners >= {secrets.EXAMPLE_OWNERS}
+         OR (n_owners = 1 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+             AND NOT regexp_matches(value, {_sql_text(secrets._PLACEHOLDER)})
+             AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS})),
+b AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+             count(*) FILTER (WHERE kind = 2) AS n_hex,
+             string_agg({_SECRET_NAMES}[kind + 1] || ':' || first || ':' || last, ',' ORDER BY first, kind) AS base
+      FROM c GROUP BY row),
+s AS (SELECT row, string_agg({_SECRET_NAMES}[kind + 1] || ':' || first || ':' || last, ',' ORDER BY first, kind) AS spans
+      FROM (SELECT row, kind, first, last FROM c UNION ALL SELECT * FROM v) GROUP BY row)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN b USING (row) LEFT JOIN s USING (row)""")
+def op2(spark, d):
+    found = secrets.scan(read(spark, d, "documents"), "text", "doc_id", "source", ["doc_id"])
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("keep.doc_id", *map(count, secrets.PATTERNS),
+                        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
+
+
+# --- 6: benchmark decontamination ---------------------------------------------
+
+def _word_list(text: str) -> str:
+    """Words of the decontamination and licence contracts, in DuckDB."""
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def leaks(docs, benchmark):
+    return decontaminate.find_leaks(docs, benchmark, "doc_id", "text", "item_id", "text")
+
+
+@register("op6_decontaminate", f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_word_list('text')} AS w FROM benchmark
+           WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bw AS (SELECT DISTINCT item, len(list_slice(w, i, i + 9)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS phrase
+       FROM (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_word_list("coalesce(text, '')")} AS w FROM documents),
+dw AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, n
+       FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+             FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, bw.n, item FROM dw JOIN bw ON bw.phrase = dw.phrase AND bw.n = dw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+      FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+      FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def op6(spark, d):
+    found = leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
+# --- 8: toxicity --------------------------------------------------------------
+
+#: A document is rejected from this score on.
+TOXIC_FROM = 0.3
+
+
+def toxicity_model(docs, labels):
+    return toxicity.train(*toxicity.sample(docs, labels, "doc_id", "text", "toxic"))
+
+
+@register("op8_toxicity")
+def op8(spark, d):
+    docs = read(spark, d, "documents")
+    model = toxicity_model(docs, read(spark, d, "labels"))
+    scored = toxicity.score(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+# --- 9: personal data ---------------------------------------------------------
+
+@register("op9_pii")
+def op9(spark, d):
+    found = pii.find_pii(read(spark, d, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), *(f"n_{k}" for k in pii.KINDS),
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 # --- 10: exact top-k search ---------------------------------------------------
 
 @register("op10_exact_topk", """
