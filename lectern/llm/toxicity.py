@@ -2,7 +2,8 @@
 
 A text is the bag of its words' character n-grams (3 to 6 characters of
 ``<word>``, and the word itself), each hashed to one of ``BUCKETS`` rows of an
-embedding table. Their average goes through a softmax over two classes. Table
+embedding table. A word that stands n times weighs log2(1 + n), so that a text
+repeating one word is not decided by it. The n-grams' average goes through a softmax over two classes. Table
 and softmax are trained together, in numpy, on a bounded sample of labelled
 rows; a misspelling not seen in training shares most n-grams with words that
 were. Scoring runs over all rows: a word's part of the score is a sum over
@@ -25,14 +26,20 @@ from pyspark.sql import functions as F
 from .common import texts
 from .decontaminate import _TO_SPACE
 
-#: Labelled rows to learn from, at most, and bytes of their texts.
+#: Labelled rows to learn from, at most, and bytes of their texts. A quarter
+#: of them only sets the scores' scale.
 SAMPLE_ROWS = 8000
 SAMPLE_BYTES = 48 << 20
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
-DIM = 8
-STEPS = 80
-RATE = 0.1
+DIM = 4
+STEPS = 100
+RATE = 0.2
+DECAY = 1e-6
+#: Zero rows averaged in with every text, so that a few words alone decide little.
+PADDING = 1500.0
+#: Words of training texts that an n-gram must stand in, each text's word once.
+LEAST_TEXTS = 20
 #: Weight of a toxic row's loss against a clean one's.
 TOXIC_WEIGHT = 3.0
 #: Words whose sums a task keeps.
@@ -71,6 +78,15 @@ def grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order], np.bincount(word, minlength=len(vocabulary))
 
 
+def _sums(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of each range of ``x``; 0.0 for an empty one."""
+    out = np.zeros(len(start))
+    full = size > 0
+    if full.any():
+        out[full] = np.add.reduceat(x, start[full])
+    return out
+
+
 class Model:
     """``part``: what an n-gram of a bucket adds to the difference of the two
     classes' logits, before averaging."""
@@ -97,15 +113,45 @@ class Model:
         for i, ws in enumerate(found):
             if ws:
                 at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-                logit[i] += self.sum[at].sum() / self.count[at].sum()
+                at, times = np.unique(at, return_counts=True)
+                times = np.log2(1.0 + times)
+                logit[i] += (times * self.sum[at]).sum() / (PADDING + (times * self.count[at]).sum())
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
 def train(docs: list[str], label: np.ndarray, seed: int = 0) -> Model:
-    """Full-batch Adam on the weighted cross-entropy; the order of the sample
-    and the seed fix the result."""
+    """A model whose scores are probabilities: three quarters of the sample
+    train table and softmax, the rest sets the softmax's scale and bias. The
+    order of the sample and the seed fix the result."""
     if len(docs) == 0 or label.min() == label.max():
         return Model(np.zeros(BUCKETS), 0.0, empty=True)
+    kept = np.arange(len(docs)) % 4 == 0
+    if min(label[kept].sum(), (1 - label[kept]).sum(), label[~kept].sum(), (1 - label[~kept]).sum()) < 10:
+        return _fit(docs, label, seed)
+    model = _fit([t for t, k in zip(docs, kept) if not k], label[~kept], seed)
+    p = np.clip(model.score([t for t, k in zip(docs, kept) if k]), 1e-12, 1 - 1e-12)
+    scale, bias = _calibrate(np.log(p / (1 - p)), label[kept])
+    return Model(model.part * scale, model.bias * scale + bias)
+
+
+def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Scale and bias of a logistic regression on one margin (Newton's steps
+    on smoothed targets)."""
+    n = label.sum()
+    target = np.where(label == 1, (n + 1) / (n + 2), 1 / (len(label) - n + 2))
+    x = np.column_stack([margin, np.ones(len(margin))])
+    w = np.array([0.0, np.log((n + 1) / (len(label) - n + 1))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - target))
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
+def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
+    """Full-batch Adam on the weighted cross-entropy."""
     number: dict[bytes, int] = {}
     ref, times, size = [], [], []
     for text in docs:
@@ -114,17 +160,25 @@ def train(docs: list[str], label: np.ndarray, seed: int = 0) -> Model:
             k = number.setdefault(w, len(number))
             bag[k] = bag.get(k, 0) + 1
         ref.append(np.fromiter(bag.keys(), np.int64, len(bag)))
-        times.append(np.fromiter(bag.values(), np.float32, len(bag)))
+        times.append(np.log2(1.0 + np.fromiter(bag.values(), np.float32, len(bag))))
         size.append(len(bag))
     ref, times, size = np.concatenate(ref), np.concatenate(times), np.array(size)
     doc = np.repeat(np.arange(len(docs)), size)
     bucket, count = grams(list(number)) if number else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     start = np.cumsum(count) - count
-    total = np.maximum(np.bincount(doc, times * count[ref], len(docs)), 1.0)
+    total = PADDING + np.bincount(doc, times * count[ref], len(docs))
     share = (times / total[doc]).astype(np.float32)
 
+    # N-grams that stand in few words of few texts say nothing about others:
+    # they keep a zero row.
+    held = np.bincount(ref, minlength=len(number))
+    common = np.bincount(bucket, np.repeat(held, count), BUCKETS) >= LEAST_TEXTS
+    used = common[bucket]
+    kept = np.add.reduceat(used, start) if len(start) else count
+    bucket, start, count = bucket[used], np.cumsum(kept) - kept, kept
+
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (DIM, BUCKETS)).astype(np.float32)
+    table = rng.normal(0, 0.1, (DIM, BUCKETS)).astype(np.float32) * common
     soft = rng.normal(0, 0.5, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     weight = np.where(label == 1, TOXIC_WEIGHT, 1.0)
@@ -135,7 +189,7 @@ def train(docs: list[str], label: np.ndarray, seed: int = 0) -> Model:
     for step in range(1, STEPS + 1):
         hidden = np.empty((DIM, len(docs)))
         for k in range(DIM):
-            word = np.add.reduceat(table[k][bucket], start) if len(start) else np.zeros(0)
+            word = _sums(table[k][bucket], start, count)
             hidden[k] = np.bincount(doc, word[ref] * share, len(docs))
         logit = soft @ hidden + bias[:, None]
         toxic = 1.0 / (1.0 + np.exp(np.clip(logit[0] - logit[1], -50, 50)))
@@ -143,7 +197,7 @@ def train(docs: list[str], label: np.ndarray, seed: int = 0) -> Model:
         both = np.stack([-off, off])
         word = np.bincount(ref, off[doc] * share, len(number))
         gram = np.bincount(bucket, np.repeat(word, count), BUCKETS)
-        slope = [np.outer(soft[1] - soft[0], gram), both @ hidden.T, both.sum(axis=1)]
+        slope = [np.outer(soft[1] - soft[0], gram) + DECAY * table, both @ hidden.T, both.sum(axis=1)]
         for x, g, m, v in zip(params, slope, mean, var):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
