@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, secrets, topk, toxicity
+from . import bpe, decontaminate, licenses, pii, secrets, topk, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -97,6 +97,18 @@ def op2(spark, d):
                         secrets.listed(F.col("spans")).alias("spans"))
 
 
+# --- 5: licence scans ---------------------------------------------------------
+
+@register("op5_licenses")
+def op5(spark, d):
+    found = licenses.scan(read(spark, d, "documents"), "text", ["doc_id"])
+    names = F.array_sort(F.array_distinct(F.col("base.label")))
+    return found.select("keep.doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+                        F.array_min("base.at").alias("first_word"), F.array_max("base.at").alias("last_word"),
+                        F.array_join(names, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"),
+                        F.round("score", 6).alias("score"))
+
+
 # --- 6: benchmark decontamination ---------------------------------------------
 
 def _word_list(text: str) -> str:
