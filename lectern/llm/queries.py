@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, pii, secrets, topk, toxicity
+from ..session import scratch_path
+from . import bpe, decontaminate, licenses, pii, secrets, topk, toxicity, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -97,6 +98,28 @@ def op2(spark, d):
                         secrets.listed(F.col("spans")).alias("spans"))
 
 
+# --- 4: WARC ------------------------------------------------------------------
+
+@register("op4_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS first_id FROM p WHERE n >= {warc.LEAST_BYTES} GROUP BY html)
+SELECT p.page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN g ON p.n >= {warc.LEAST_BYTES} AND p.html = g.html""")
+def op4(spark, d):
+    path = scratch_path(spark, "archive")
+    warc.write(read(spark, d, "pages"), path, "page_id", "url", "html")
+    rows = warc.read(spark, path, payload=False)
+
+    def page(record):
+        number = F.substring(record, len(warc.record_id("")) + 1, 1 << 20)
+        return F.when(number != "", number).cast("long")
+
+    return rows.select(page(F.col("record")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       page(F.col("refers_to")).alias("refers_to"))
+
+
 # --- 5: licence scans ---------------------------------------------------------
 
 @register("op5_licenses")
