@@ -16,9 +16,12 @@ meets nowhere with a probability of 3e-6 (``miss``), less for closer ones.
 rounds, and a pair is looked at only while its nodes are in different classes:
 
 1. each node against the lowest node of its buckets that it meets most often;
-2. (twice) neighbours of different classes in small random parts of a bucket;
-3. all remaining pairs of a bucket that lie in different classes. The largest
-   class of a bucket is not paired with itself.
+2. neighbours of different classes in small random parts of a bucket;
+3. each node against every class that it still meets and is not part of (the
+   largest class of a bucket asks nobody there). A class of few members gives
+   pairs; a large one is split into blocks of bounded bytes, and a task finds
+   a node's overlaps with a whole block through an inverted index of it, so
+   the pairs themselves are never rows.
 
 After each round the confirmed links merge classes by the lowest label of
 neighbours and pointer jumping. So a large group of copies takes about one
@@ -50,8 +53,11 @@ BANDS = SLOTS // ROWS
 SHINGLE = 5
 SIMILAR = (80, 100)
 #: Random rounds, and rows of a bucket's random part in one.
-RANDOM_ROUNDS = 2
+RANDOM_ROUNDS = 1
 PART_ROWS = 500
+#: Members up to which a class gives pairs, and bytes of sets in a block.
+FEW = 8
+BLOCK_BYTES = 8 << 20
 #: Texts whose signatures are computed together, and signatures and words that
 #: a task remembers.
 TOGETHER = 512
@@ -209,7 +215,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                                                   pa.array(sets, pa.binary())], ["node", "set"])
 
     found = docs.select(at.alias("at"), "text").mapInArrow(run, "node binary, set binary")
-    return found.join(wanted.select("v", "node"), "node").groupBy("v").agg(F.first("set").alias("set"))
+    return found.join(wanted.select("v", "node"), "node").groupBy("v").agg(F.first("set").alias("set")) \
+        .withColumn("bytes", F.octet_length("set").cast("long"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -235,6 +242,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+def _overlapping(asking: pa.Table, block: pa.Table, similar: tuple[int, int]) -> pa.Table:
+    """One link ``a, b`` for each asking set that is similar enough to a set
+    of the block: overlaps with all of them come from one look-up of its
+    elements among the block's sorted ones."""
+    num, den = similar
+    held = [np.frombuffer(s.as_buffer(), np.uint64) for s in block.column("set")]
+    size = np.array([len(s) for s in held], np.int64)
+    element, owner = np.concatenate([*held, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(held)), size)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    v = block.column("v").to_numpy()
+    a, b = [], []
+    for x, s in zip(asking.column("v").to_pylist(), asking.column("set")):
+        s = np.frombuffer(s.as_buffer(), np.uint64)
+        lo, hi = np.searchsorted(element, s, side="left"), np.searchsorted(element, s, side="right")
+        n = hi - lo
+        hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        common = np.bincount(hits, minlength=len(held))
+        near = np.flatnonzero((den * common >= num * (len(s) + size - common)) & (v != x))
+        if len(near):
+            a.append(x)
+            b.append(int(v[near[0]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _class_links(met: DataFrame, label: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links between nodes and the large classes that they meet: ``met`` has
+    ``a, root, bytes`` (of the class). Classes and those that ask are split
+    by bytes; every part of one meets every part of the other."""
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK_BYTES), F.lit(1)).cast("int")
+    size = sets.select("v", F.col("bytes").alias("own"))
+    asked = stored(met.join(size.withColumnRenamed("v", "a"), "a"), "neardup-asked")
+    plan = stored(asked.groupBy("root").agg(parts(F.max("bytes")).alias("blocks"), parts(F.sum("own")).alias("turns")), "neardup-plan")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asking = asked.join(plan, "root").select(F.col("a").alias("v"), "root", of("a", "turns").alias("turn"), each("blocks").alias("block"))
+    block = label.join(plan, "root").select("v", "root", of("v", "blocks").alias("block"), each("turns").alias("turn"))
+    key = ["root", "block", "turn"]
+    own = lambda x: F.col(x).alias(x)  # noqa: E731  columns of its own for each side
+    left = stored(asking, "neardup-asking").join(sets.select(own("v"), own("set")), "v").select(*map(own, ["v", "set", *key])).groupBy(*key)
+    right = stored(block, "neardup-blocks").join(sets.select(own("v"), own("set")), "v").select(*map(own, ["v", "set", *key])).groupBy(*key)
+
+    def run(asking, block):
+        return _overlapping(asking, block, similar)
+
+    return left.cogroup(right).applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "neardup-classes") -> DataFrame:
     """``v, root``: each node of the links ``a, b`` with the lowest node that
     it reaches. Every step takes the lowest label among neighbours, then jumps
@@ -321,13 +376,19 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
         label = _merged(label, stored(_linked(pairs, sets, similar), "neardup-links"))
 
     mixed = _mixed(members, label)
-    each = mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    each = stored(mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "neardup-met")
     most = stored(each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("most")), "neardup-most")
-    named = stored(mixed.join(most, "key"), "neardup-rest")
-    few = stored(named.filter("root <> most").select("key", F.col("v").alias("a"), F.col("root").alias("a_root")), "neardup-few")
-    rest = few.join(named, "key").filter((F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("most")) | (F.col("a") < F.col("v"))))
-    pairs = _pairs(rest.select("a", F.col("v").alias("b")), tested)
-    label = _merged(label, stored(_linked(pairs, sets, similar), "neardup-links"))
+    few = stored(mixed.join(most, "key").filter("root <> most").select("key", "most", F.col("v").alias("a"), F.col("root").alias("a_root")), "neardup-few")
+    meet = few.join(each, "key").filter((F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("most")) | (F.col("a_root") < F.col("root"))))
+    met = stored(meet.select("a", "root").distinct(), "neardup-meet")
+    classes = stored(label.join(sets.select("v", "bytes"), "v").groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "neardup-classes-size")
+    met = stored(met.join(classes, "root", "left"), "neardup-meet")
+    large = F.coalesce(F.col("n"), F.lit(1)) > FEW
+    alone = met.filter("n is null").select("a", F.col("root").alias("b"))
+    pairs = _pairs(met.filter(~large & F.col("n").isNotNull()).join(label, "root").select("a", F.col("v").alias("b")).unionByName(alone), tested)
+    links = _linked(pairs, sets, similar).unionByName(_class_links(met.filter(large), label, sets, similar))
+    label = _merged(label, stored(links, "neardup-links"))
 
     # Names: the lowest id of a class's nodes, then of each row's node.
     classed = stored(nodes.join(label, "v"), "neardup-classed")

@@ -112,9 +112,9 @@ _MANY = 3
 _AT = r"(?:at|arroba)"
 _DOT = r"(?:dot|punkt|point|punto)"
 _BRACKETED = re.compile(rf"(?i)\s*[\[({{<]\s*(?:({_AT})|{_DOT})\s*[\])}}>]\s*")
-_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+{_DOT}\s+[A-Za-z0-9_%+-]+)*"
+_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?:\s+{_DOT}\s+[A-Za-z0-9_%+-]+)*"
                    rf"(?:\s+{_AT}\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*"
-                   rf"\s+{_DOT}\s+[A-Za-z0-9-]+(?:\s+{_DOT}\s+[A-Za-z0-9-]+)*")
+                   rf"\s+{_DOT}\s+[A-Za-z]{{2,}}(?!\w)")
 _BARE_IP = re.compile(rf"(?i)(?<!\w)[0-9]+(?:(?:\s+{_DOT}\s+|\.)[0-9]+){{3}}(?!\w)")
 _BARE_AT = re.compile(rf"(?i)\s+{_AT}\s+|\s*@\s*")
 _BARE_DOT = re.compile(rf"(?i)\s+{_DOT}\s+")

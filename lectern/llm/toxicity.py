@@ -34,12 +34,13 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 DIM = 4
 STEPS = 100
-RATE = 0.2
-DECAY = 1e-6
+RATE = 0.1
+TABLE_RATE = 3.0
 #: Zero rows averaged in with every text, so that a few words alone decide little.
 PADDING = 1500.0
-#: Words of training texts that an n-gram must stand in, each text's word once.
-LEAST_TEXTS = 20
+#: Words of training texts that an n-gram must stand in, each text's word once:
+#: a share of the texts, and two at least.
+LEAST_SHARE = 0.003
 #: Weight of a toxic row's loss against a clean one's.
 TOXIC_WEIGHT = 3.0
 #: Words whose sums a task keeps.
@@ -172,7 +173,7 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
     # N-grams that stand in few words of few texts say nothing about others:
     # they keep a zero row.
     held = np.bincount(ref, minlength=len(number))
-    common = np.bincount(bucket, np.repeat(held, count), BUCKETS) >= LEAST_TEXTS
+    common = np.bincount(bucket, np.repeat(held, count), BUCKETS) >= max(2.0, LEAST_SHARE * len(docs))
     used = common[bucket]
     kept = np.add.reduceat(used, start) if len(start) else count
     bucket, start, count = bucket[used], np.cumsum(kept) - kept, kept
@@ -185,7 +186,7 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
     weight = weight / weight.sum()
     params = [table, soft, bias]
     mean = [np.zeros_like(x) for x in params]
-    var = [np.zeros_like(x) for x in params]
+    var = [0.0, *(np.zeros_like(x) for x in params[1:])]
     for step in range(1, STEPS + 1):
         hidden = np.empty((DIM, len(docs)))
         for k in range(DIM):
@@ -197,11 +198,14 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
         both = np.stack([-off, off])
         word = np.bincount(ref, off[doc] * share, len(number))
         gram = np.bincount(bucket, np.repeat(word, count), BUCKETS)
-        slope = [np.outer(soft[1] - soft[0], gram) + DECAY * table, both @ hidden.T, both.sum(axis=1)]
-        for x, g, m, v in zip(params, slope, mean, var):
+        slope = [np.outer(soft[1] - soft[0], gram), both @ hidden.T, both.sum(axis=1)]
+        for i, (x, g, m) in enumerate(zip(params, slope, mean)):
             m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+            # The table's rows share one scale, that of the steepest: an
+            # n-gram moves as far as its own evidence goes.
+            var[i] += 0.01 * (((g * g).max() if x is table else g * g) - var[i])
+            rate = TABLE_RATE if x is table else RATE
+            x -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(var[i] / (1 - 0.99 ** step)) + 1e-12)
     return Model((soft[1] - soft[0]) @ table, float(bias[1] - bias[0]))
 
 
