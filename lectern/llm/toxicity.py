@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import texts
 from .decontaminate import _TO_SPACE
 
+#: Weight of a text without words as a clean one, against all others' sum: what
+#: holds no evidence is not toxic.
+EMPTY_WEIGHT = 0.25
 #: Labelled rows to learn from, at most, and bytes of their texts. A quarter
 #: of them only sets the scores' scale.
 SAMPLE_ROWS = 8000
@@ -130,8 +133,10 @@ def train(docs: list[str], label: np.ndarray, seed: int = 0) -> Model:
     if min(label[kept].sum(), (1 - label[kept]).sum(), label[~kept].sum(), (1 - label[~kept]).sum()) < 10:
         return _fit(docs, label, seed)
     model = _fit([t for t, k in zip(docs, kept) if not k], label[~kept], seed)
-    p = np.clip(model.score([t for t, k in zip(docs, kept) if k]), 1e-12, 1 - 1e-12)
-    scale, bias = _calibrate(np.log(p / (1 - p)), label[kept])
+    held, y = [t for t, k in zip(docs, kept) if k], label[kept]
+    n = max(1, int(EMPTY_WEIGHT * len(held)))
+    p = np.clip(model.score([*held, *[""] * n]), 1e-12, 1 - 1e-12)
+    scale, bias = _calibrate(np.log(p / (1 - p)), np.concatenate([y, np.zeros(n)]))
     return Model(model.part * scale, model.bias * scale + bias)
 
 
@@ -198,7 +203,8 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
         both = np.stack([-off, off])
         word = np.bincount(ref, off[doc] * share, len(number))
         gram = np.bincount(bucket, np.repeat(word, count), BUCKETS)
-        slope = [np.outer(soft[1] - soft[0], gram), both @ hidden.T, both.sum(axis=1)]
+        none = EMPTY_WEIGHT / (1.0 + np.exp(np.clip(bias[0] - bias[1], -50, 50)))
+        slope = [np.outer(soft[1] - soft[0], gram), both @ hidden.T, both.sum(axis=1) + np.array([-none, none])]
         for i, (x, g, m) in enumerate(zip(params, slope, mean)):
             m += 0.1 * (g - m)
             # The table's rows share one scale, that of the steepest: an

@@ -1,0 +1,115 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from rows import by_id, documents
+
+from lectern.llm import neardup
+
+
+def shingles(text, n):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def classes(rows, n, num=80, den=100):
+    sets = [shingles(t, n) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                up[top(i)] = top(j)
+    names = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            names[top(i)] = min(k, names.get(top(i), k))
+    return [(k, len(s), names.get(top(i)) if s else k) for i, ((k, _), s) in enumerate(zip(rows, sets))]
+
+
+def corpus(seed=0):
+    """Groups of edited copies (some only reachable through others), exact
+    copies, texts that share a passage, and odd ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    out, passage = [], " ".join(word() for _ in range(25))
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(12, 90))]
+        out.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 3, 25])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 12))):
+                copy[rng.randrange(len(copy))] = word()
+            out.append(" ".join(copy))
+    chain = [word() for _ in range(60)]
+    for _ in range(15):                      # each is near the next only
+        chain = chain[2:] + [word(), word()]
+        out.append(" ".join(chain))
+    out += [passage + " " + " ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(30)]
+    out += [None, "", " \t\n", "one", "One", "ONE two", "one TWO", "É é", "é É", "x " * 4000, "X " * 3999]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_against_brute_force(spark, n):
+    texts = corpus()
+    ids = list(range(100, 100 + len(texts)))
+    docs = documents(spark, texts, ids=ids).repartition(6)
+    got = by_id(neardup.near_duplicates(docs, "doc_id", "text", shingle=n).collect(), "id")
+    for k, size, name in classes(list(zip(ids, texts)), n):
+        (r,) = got[k]
+        assert (r.n_shingles, r.component_id, r.kept) == (size, name, k == name), k
+
+
+def test_repeated_and_missing_ids_and_empty_table(spark):
+    rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (3, "z y x w"), (None, "lonely text here"), (7, None), (None, "")]
+    docs = documents(spark, [t for _, t in rows], ids=[k for k, _ in rows])
+    got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, "doc_id", "text", 2).collect()), key=str)
+    want = sorted(((k, s, c, k is not None and k == c) for k, s, c in classes(rows, 2)), key=str)
+    assert got == want
+    assert neardup.near_duplicates(docs.limit(0), "doc_id", "text").collect() == []
+
+
+def test_signature_agreement_estimates_similarity():
+    rng = np.random.default_rng(1)
+    errors = []
+    for _ in range(40):
+        pool = rng.integers(0, 2 ** 63, 150).astype(np.uint64)
+        a, b = pool[:120], pool[30:]
+        s = neardup.signatures([np.sort(a), np.sort(b)])
+        errors.append((s[0] == s[1]).mean() - 90 / 150)
+    assert abs(np.mean(errors)) < 0.02
+    # Correlated ranks: below the variance of independent minima.
+    assert np.var(errors) < 0.6 * 0.4 / neardup.SLOTS
+
+
+def test_visits_are_permutations_and_misses_are_rare():
+    key = np.random.default_rng(0).integers(0, 2 ** 63, 50).astype(np.uint64)
+    visits = np.stack([neardup._visited(key, j) for j in range(neardup.SLOTS)])
+    assert all(len(set(v)) == neardup.SLOTS for v in visits.T.tolist())
+    assert neardup.miss(0.8) < 5e-6
+
+
+def test_components_follow_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (99, 101)], "a long, b long")
+    got = {r.v: r.root for r in neardup.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 99: 99, 100: 99, 101: 99}
+
+
+def test_large_classes_are_asked_in_blocks(spark, monkeypatch):
+    """A class beyond ``FEW`` members, blocks and askers of a few sets each."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(neardup, "RANDOM_ROUNDS", 0)
+    monkeypatch.setattr(neardup, "FEW", 1)
+    texts = corpus(7)
+    docs = documents(spark, texts)
+    got = {r.id: r.component_id for r in neardup.near_duplicates(docs, "doc_id", "text", 2).collect()}
+    assert got == {k: c for k, _, c in classes(list(enumerate(texts)), 2)}
