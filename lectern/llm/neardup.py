@@ -18,7 +18,8 @@ rounds, and a pair is looked at only while its nodes are in different classes:
 1. each node against the lowest node of its buckets that it meets most often;
 2. neighbours of different classes in small random parts of a bucket;
 3. each node against every class that it still meets and is not part of (the
-   largest class of a bucket asks nobody there). A class of few members gives
+   largest class of a bucket asks nobody there). Two single nodes whose
+   sketches agree far too little for a link are passed over. A class of few members gives
    pairs; a large one is split into blocks of bounded bytes, and a task finds
    a node's overlaps with a whole block through an inverted index of it, so
    the pairs themselves are never rows.
@@ -125,6 +126,19 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Eight bits of each slot, to estimate a pair's similarity from."""
+    return (_mix(signature) & _U(0xFF)).astype(np.uint8).view(np.int8)
+
+
+def least_agreement(similar: tuple[int, int]) -> int:
+    """Equal sketch slots below which a pair is not looked at: 5.5 standard
+    deviations under what the least similarity gives (one in 5e7)."""
+    s = similar[0] / similar[1]
+    p = s + (1 - s) / 256
+    return int(SLOTS * p - 5.5 * (SLOTS * p * (1 - p)) ** 0.5)
+
+
 class Shingler:
     """Texts to sorted arrays of the hashes of their distinct shingles."""
 
@@ -152,12 +166,12 @@ class Shingler:
         return np.unique(x)
 
 
-_SIGNED = "id {id}, n long, node binary, bands array<long>"
+_SIGNED = "id {id}, n long, node binary, bands array<long>, sketch array<tinyint>"
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """``id, n, node, bands``: set size, 128-bit digest of the set, bucket
-    keys (none without words)."""
+    """``id, n, node, bands, sketch``: set size, 128-bit digest of the set,
+    bucket keys and sketch (none without words)."""
 
     def run(batches):
         import xxhash
@@ -172,10 +186,13 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     done = {}
                 new = {k: s for k, s in zip(node, sets) if k is not None and k not in done}
                 if new:
-                    done.update(zip(new, bands(signatures(list(new.values())))))
+                    low = signatures(list(new.values()))
+                    done.update(zip(new, zip(bands(low), sketches(low))))
+                both = [done.get(k, (None, None)) for k in node]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
-                     pa.array([done.get(k) for k in node], pa.list_(pa.int64()))], ["id", "n", "node", "bands"])
+                     pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], pa.list_(pa.int8()))],
+                    ["id", "n", "node", "bands", "sketch"])
 
     return docs.mapInArrow(run, _SIGNED.format(id=docs.schema["id"].dataType.simpleString()))
 
@@ -378,8 +395,19 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     mixed = _mixed(members, label)
     each = stored(mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "neardup-met")
     most = stored(each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("most")), "neardup-most")
-    few = stored(mixed.join(most, "key").filter("root <> most").select("key", "most", F.col("v").alias("a"), F.col("root").alias("a_root")), "neardup-few")
-    meet = few.join(each, "key").filter((F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("most")) | (F.col("a_root") < F.col("root"))))
+    sketch = signed.filter("n > 0").select(F.col("row").alias("v"), "sketch")
+    few = mixed.join(most, "key").filter("root <> most").select("key", "most", "v", F.col("root").alias("a_root"))
+    few = stored(few.join(sketch, "v").withColumnRenamed("v", "a"), "neardup-few")
+    # A node that is a class of its own has a sketch to ask first.
+    single = each.join(label.select(F.col("v").alias("root")), "root", "left_anti") \
+        .join(sketch.select(F.col("v").alias("root"), F.col("sketch").alias("own")), "root")
+    several = each.join(label.select(F.col("v").alias("root")), "root", "left_semi") \
+        .withColumn("own", F.lit(None).cast("array<tinyint>"))
+    asked = stored(single.unionByName(several), "neardup-asked-classes")
+    agree = F.aggregate(F.zip_with("sketch", "own", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    meet = few.join(asked, "key").filter(
+        (F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("most")) | (F.col("a_root") < F.col("root")))
+        & (F.col("own").isNull() | (agree >= least_agreement(similar))))
     met = stored(meet.select("a", "root").distinct(), "neardup-meet")
     classes = stored(label.join(sets.select("v", "bytes"), "v").groupBy("root").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "neardup-classes-size")
