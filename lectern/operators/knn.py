@@ -43,8 +43,9 @@ from pyspark.sql import types as T
 
 DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 DEFAULT_GROUP_ROWS = 200_000
-_BLOCK_CELLS = 4_000_000  # questions x vectors scored at once
-SALT_FROM_TASKS = 256     # scoring tasks above which the final top-k is two-level
+_BLOCK_CELLS = 1_000_000  # questions x vectors scored at once
+_EXACT_ROWS = 1 << 16     # candidate pairs whose exact distance is taken at once
+SALTS = 64                # groups of the first level of the final top-k
 
 
 def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +73,15 @@ def _exact(qm: np.ndarray, vm: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _exact_pairs(q: np.ndarray, v: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+    """``_exact`` of many index pairs, in slices of bounded memory."""
+    out = np.empty(len(qi), dtype=np.float64)
+    for s in range(0, len(qi), _EXACT_ROWS):
+        e = s + _EXACT_ROWS
+        out[s:e] = _exact(q[qi[s:e]], v[vi[s:e]])
+    return out
+
+
 class TopK:
     """Running exact top-k per question over streamed index batches."""
 
@@ -91,7 +101,6 @@ class TopK:
         vn = np.einsum("ij,ij->i", v, v)
         tol_scale = 4.0 * self.dim * 2.0 ** -24
         step = max(1, _BLOCK_CELLS // max(len(rows), 1))
-        qi_all, vi_all = [], []
         for s in range(0, len(self.q), step):
             qb = self.q[s:s + step]
             d = self.qn[s:s + step, None] + vn[None, :] - 2.0 * (qb @ v.T)
@@ -105,16 +114,15 @@ class TopK:
             kth = np.minimum(kth, self.kth[s:s + step])
             tol = tol_scale * (self.qn[s:s + step] + vn.max()) + 1e-12
             qi, vi = np.nonzero(d <= (kth + tol)[:, None])
-            qi_all.append(qi + s)
-            vi_all.append(vi)
-        qi = np.concatenate(qi_all)
-        vi = np.concatenate(vi_all)
-        if len(qi) == 0:
-            return
-        dist = _exact(self.q[qi], v[vi])
-        take = pa.array(rows[vi])
+            # Pruned per block: even where all vectors tie, one block's
+            # cells are all that is held beside the k best.
+            if len(qi):
+                self._merge(qi + s, vi, v, rows, tbl)
+
+    def _merge(self, qi: np.ndarray, vi: np.ndarray, v: np.ndarray, rows: np.ndarray, tbl: pa.Table):
+        dist = _exact_pairs(self.q, v, qi, vi)
         cand = pa.table({"_q": pa.array(qi.astype(np.int32)),
-                         "_id": tbl.column(self.id_col).take(take), "_d": pa.array(dist)})
+                         "_id": tbl.column(self.id_col).take(pa.array(rows[vi])), "_d": pa.array(dist)})
         self.state = cand if self.state is None else pa.concat_tables([self.state, cand])
         self._prune()
 
@@ -146,20 +154,18 @@ def _emit(tk: TopK, qids: pa.Array, q_id: str, i_id: str):
     return pa.Table.from_arrays(arrays, names=[q_id, i_id, "distance"])
 
 
-def _final_rank(cands: DataFrame, k: int, q_id: str, i_id: str, tasks: int) -> DataFrame:
+def _final_rank(cands: DataFrame, k: int, q_id: str, i_id: str) -> DataFrame:
     """Top k per question over the per-task candidates.
 
     Every scoring task sends k rows per question, so one question has
-    ``k x tasks`` candidates. With many tasks they are first reduced per
-    (question, salt) bucket, which bounds every window group near
-    ``k x sqrt(tasks)`` instead of letting it grow with the index."""
+    ``k x tasks`` candidates. They are first reduced per (question, salt)
+    group, so that no window group grows with the index alone; the plan
+    does not depend on the number of tasks."""
     order = [F.col("distance").asc(), F.col(i_id).asc()]
-    if tasks > SALT_FROM_TASKS:
-        salts = int(math.ceil(math.sqrt(tasks)))
-        salted = cands.withColumn("_s", F.pmod(F.xxhash64(F.col(i_id)), F.lit(salts)))
-        w1 = Window.partitionBy(q_id, "_s").orderBy(*order)
-        cands = (salted.withColumn("_r", F.row_number().over(w1))
-                 .filter(F.col("_r") <= k).drop("_s", "_r"))
+    salted = cands.withColumn("_s", F.pmod(F.xxhash64(F.col(i_id)), F.lit(SALTS)))
+    w1 = Window.partitionBy(q_id, "_s").orderBy(*order)
+    cands = (salted.withColumn("_r", F.row_number().over(w1))
+             .filter(F.col("_r") <= k).drop("_s", "_r"))
     w = Window.partitionBy(q_id).orderBy(*order)
     ranked = cands.withColumn("rank", F.row_number().over(w))
     return ranked.filter(F.col("rank") <= k)
@@ -170,11 +176,13 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
         i_id: str = "chunk_id", i_vec: str = "vector", carry=(),
         broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
         group_rows: int = DEFAULT_GROUP_ROWS,
-        strategy: str = "auto") -> DataFrame:
+        strategy: str = "auto", dim: int | None = None) -> DataFrame:
     """Hits ``(question_id, rank, chunk_id, distance, *carry)``: for each
     question its ``k`` nearest index rows (fewer when the index is
-    smaller). Rows without a vector, or with a vector of another length,
-    are not searchable; a question without a vector gets no hits.
+    smaller). ``dim`` is the index's vector length (read off its first
+    vector when not given). Rows without a vector, or with a vector of
+    another length, are not searchable; a question without a vector gets no
+    hits, and one with a vector of another length than ``dim`` is an error.
 
     Both inputs are read more than once (the questions for the size check
     and then the search, the index for its row count on the grid path and
@@ -185,8 +193,13 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
         raise ValueError("k must be >= 1")
     carry = [c for c in carry if c not in (i_id,)]
     qs = questions.select(q_id, q_vec).filter(F.col(q_vec).isNotNull())
-    stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("dim")).first()
-    nq, dim = int(stats["n"]), int(stats["dim"] or 0)
+    if dim is None:
+        some = index.filter(F.col(i_vec).isNotNull()).select(F.size(i_vec).alias("dim")).first()
+        dim = int(some["dim"]) if some else 0
+    stats = qs.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size(q_vec) != dim, 1)).alias("odd")).first()
+    nq = int(stats["n"])
+    if dim and stats["odd"]:
+        raise ValueError(f"{stats['odd']} questions have vectors of another length than the index's {dim}")
     schema = _out_schema(questions, index, q_id, i_id)
     if nq == 0 or dim == 0:
         empty = index.sparkSession.createDataFrame([], schema)
@@ -207,8 +220,7 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
                            nq, broadcast_max_bytes, group_rows)
     else:
         raise ValueError(strategy)
-    tasks = cands.rdd.getNumPartitions()
-    hits = _final_rank(cands, k, q_id, i_id, tasks).select(q_id, "rank", i_id, "distance")
+    hits = _final_rank(cands, k, q_id, i_id).select(q_id, "rank", i_id, "distance")
     if not carry:
         return hits
     return _attach(hits, index, q_id, i_id, carry, broadcast_max_bytes)

@@ -128,31 +128,31 @@ def shape_columns(spark, d):
 # --- filter and dedup -------------------------------------------------------
 
 @register("min_chars", """
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM documents
 WHERE length(text) >= 200""")
 def min_chars(spark, d):
     docs = table(spark, d, "documents")
     return (D.filter_min_chars(docs, "text", 200)
-            .select("doc_id", F.length("text").cast("long").alias("n_chars")))
+            .select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")))
 
 
 @register("dedup_exact", f"""
 SELECT min(doc_id) AS doc_id FROM documents GROUP BY {O.fingerprint_text('text')}""")
 def dedup_exact(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return D.dedup_first(docs, "text", "doc_id").select("doc_id")
+    return D.dedup_first(docs, "text", "doc_id", keep=["doc_id"])
 
 
 @register("filter_and_dedup", f"""
 WITH {O.clean_text_ctes('documents', 'doc_id', 'text', 'clean')},
 f AS (SELECT doc_id, clean FROM _c WHERE length(clean) >= 200)
-SELECT min(doc_id) AS doc_id, CAST(arg_min(length(clean), doc_id) AS BIGINT) AS n_chars
+SELECT min(doc_id) AS doc_id, sha256(arg_min(clean, doc_id)) AS text_sha256
 FROM f GROUP BY {O.fingerprint_text('clean')}""")
 def filter_and_dedup(spark, d):
     docs = table(spark, d, "documents")
     cleaned = docs.select("doc_id", H.clean_text(X.null_to_empty("text")).alias(schema.COMBINED_TEXT))
     kept = D.filter_and_dedup(cleaned, schema.COMBINED_TEXT, "doc_id", 200, squashed=True)
-    return kept.select("doc_id", F.length(schema.COMBINED_TEXT).cast("long").alias("n_chars"))
+    return kept.select("doc_id", F.sha2(schema.COMBINED_TEXT, 256).alias("text_sha256"))
 
 
 # --- ingest -----------------------------------------------------------------
@@ -332,12 +332,17 @@ def _emb_questions(spark, d):
     return e.join(docs, "question_id")
 
 
+def _prompt_sql(context: str, question: str) -> str:
+    slot = {"context": context, "question": question}
+    return " || ".join(f"coalesce({slot[p]}, '')" if i % 2 else O.q(p) for i, p in enumerate(PRM.parts()))
+
+
 @register("prompt_render", f"""
 WITH {_hits_sql(3)},
 ctx AS (SELECT h.question_id, string_agg(d.text, chr(10) || chr(10) ORDER BY h.rank) AS context
         FROM hits h LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY h.question_id)
 SELECT e.vec_id AS question_id,
-       {O.q(PRM.HEAD)} || coalesce(ctx.context, '') || {O.q(PRM.MIDDLE)} || coalesce(qd.text, '') || {O.q(PRM.TAIL)} AS prompt
+       {_prompt_sql("ctx.context", "qd.text")} AS prompt
 FROM embeddings e JOIN documents qd ON qd.doc_id = e.vec_id
 LEFT JOIN ctx ON ctx.question_id = e.vec_id""")
 def prompt_render(spark, d):
@@ -510,14 +515,24 @@ def chunk_all(spark, d):
     return ch.select("chunk_id", F.col("_ord").alias("doc_id"), "chunk_no", "text")
 
 
+_META = [c for c in schema.METADATA_COLUMNS if c not in ("id", "url")]
+
+
 @register("chunk_metadata", f"""
-SELECT CAST(doc_id AS VARCHAR) || '_0' AS chunk_id, CAST(doc_id AS VARCHAR) AS id,
-       source AS url, 'documents' AS source, CAST(0 AS BIGINT) AS chunk_no
-FROM documents WHERE {O.squash_spaces('text')} <> ''""")
+WITH src AS (SELECT doc_id, {O.squash_spaces('text')} AS t FROM documents),
+{O.splitter_chunks_sql('src', 1000, 100)}
+SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, CAST(doc_id AS VARCHAR) AS id,
+       d.source AS url, 'documents' AS source, chunk_no,
+       {", ".join(f"d.lang || '{c}' || CAST(doc_id % {i + 2} AS VARCHAR) AS {c}" for i, c in enumerate(_META))}
+FROM chunks JOIN documents d USING (doc_id)""")
 def chunk_metadata(spark, d):
-    ch = CH.chunk_records(_collapsed_docs(spark, d), "text", "id", "_ord", 1000, 100,
-                          DOCS_SOURCE)
-    return ch.filter(F.col("chunk_no") == 0).select("chunk_id", "id", "url", "source", "chunk_no")
+    """Every chunk with every metadata column (derived from the row)."""
+    docs = _collapsed_docs(spark, d)
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("_ord"), "lang")
+    docs = docs.join(lang, "_ord").select("*", *(
+        F.concat("lang", F.lit(c), (F.col("_ord") % (i + 2)).cast("string")).alias(c) for i, c in enumerate(_META)))
+    ch = CH.chunk_records(docs, "text", "id", "_ord", 1000, 100, DOCS_SOURCE)
+    return ch.select("chunk_id", "id", "url", "source", "chunk_no", *_META)
 
 
 # --- embedding, index (M1, U2, A1, A3, J1, J4, S5-S7) -----------------------
@@ -526,14 +541,32 @@ def chunk_metadata(spark, d):
 REFUSED = r"(?i)\b(password|secret|api[ _-]?key)\b"
 
 
-@register("embed_batches")
+# Documents whose chunks form batches together, by their numbers.
+EMBED_GROUP = 64
+
+
+@register("embed_batches", f"""
+WITH src AS (SELECT doc_id, {O.squash_spaces('text')} AS t FROM documents),
+{O.splitter_chunks_sql('src', 1000, 100)},
+b AS (SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, text, doc_id // {EMBED_GROUP} AS g,
+             (row_number() OVER (PARTITION BY doc_id // {EMBED_GROUP} ORDER BY doc_id, chunk_no) - 1) // {schema.EMBED_BATCH_SIZE} AS slice
+      FROM chunks),
+bad AS (SELECT g, slice, bool_or(regexp_matches(text, {O.q(REFUSED)})) AS refused FROM b GROUP BY ALL),
+{O.bow_vectors_sql('b', 'chunk_id', 'text', 64, 'cv')}
+SELECT b.chunk_id, NOT refused AS has_vector,
+       CASE WHEN refused THEN NULL ELSE round(list_sum(list_transform(cv.v, lambda x, i: CAST(x AS DOUBLE) * i)), 3) END AS weighted,
+       CASE WHEN refused THEN 'RuntimeError: batch refused by the embedding service' END AS error
+FROM b JOIN bad USING (g, slice) JOIN cv USING (chunk_id)""")
 def embed_batches(spark, d):
-    """M1 over all chunks; batches holding a refused text fail and their
-    rows keep a null vector and an error (rows-only check)."""
+    """M1 over all chunks, in batches of 50 formed by key; batches holding a
+    refused text fail and their rows keep a null vector and an error."""
     ch = CH.chunk_records(_collapsed_docs(spark, d), "text", "id", "_ord", 1000, 100,
                           DOCS_SOURCE)
-    emb = EMB.embed_batches(ch, FailingEmbedder(HashingEmbedder(64), REFUSED), "text")
-    return emb.select("chunk_id", F.col("vector").isNotNull().alias("has_vector"), "error")
+    emb = EMB.embed_batches(ch, FailingEmbedder(HashingEmbedder(64), REFUSED), "text",
+                            batch_by=F.floor(F.col("_ord") / EMBED_GROUP), order_by=["_ord", "chunk_no"])
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return emb.select("chunk_id", F.col("vector").isNotNull().alias("has_vector"),
+                      F.round(weighted, 3).alias("weighted"), "error")
 
 
 @register("index_complete", """
@@ -575,12 +608,17 @@ def index_roundtrip(spark, d):
 
 # --- questions (P9) ---------------------------------------------------------
 
-@register("questions_valid", f"""
+@register("questions_valid", """
 SELECT conv_id, turn,
-       CASE WHEN text IS NULL OR regexp_matches(text, {O.q(X.BLANK)}) THEN 400 ELSE 200 END AS status
+       CASE WHEN (conv_id + turn) % 7 IN (1, 3, 5) OR trim(text, ' ' || chr(9) || chr(10) || chr(160)) = ''
+            THEN 400 ELSE 200 END AS status
 FROM conversations WHERE role = 'user'""")
 def questions_valid(spark, d):
+    """The user turns, of which some are blanked in three ways (empty, white
+    space, null) so that the rejecting branch runs."""
     conv = table(spark, d, "conversations").filter(F.col("role") == "user")
+    by = (F.col("conv_id") + F.col("turn")) % 7
+    conv = conv.withColumn("text", F.when(by == 1, "").when(by == 3, " \t\u00a0 ").when(by == 5, F.lit(None)).otherwise(F.col("text")))
     return P.with_status(conv, "text").select("conv_id", "turn", "status")
 
 
@@ -636,7 +674,7 @@ def _built_index(spark, d, dim=FLAGSHIP_DIM):
 @register("index_and_search", f"""
 WITH {_SEARCH_SQL}
 SELECT h.question_id, CAST(h.rank AS INTEGER) AS rank, printf('%.2f', 1.0 - h.distance) AS relevance,
-       'N/A' AS title, 'N/A' AS city, substr(c.text, 1, 200) || '...' AS preview
+       'N/A' AS title, 'N/A' AS city, substr(c.text, 1, 200) || '...' AS preview, CAST(NULL AS VARCHAR) AS error
 FROM hits h JOIN ck c USING (chunk_id)""")
 def index_and_search(spark, d):
     """Flagship: build the index from ``documents`` (clean, filter, dedup,
@@ -652,16 +690,44 @@ WITH {_SEARCH_SQL},
 ctx AS (SELECT h.question_id, count(*) AS n, string_agg(c.text, chr(10) || chr(10) ORDER BY h.rank) AS context
         FROM hits h JOIN ck c USING (chunk_id) GROUP BY h.question_id)
 SELECT q.question_id, CAST(ctx.n AS INTEGER) AS n_contexts,
-       CAST(length({O.q(PRM.HEAD)} || coalesce(ctx.context, '') || {O.q(PRM.MIDDLE)} || q.question || {O.q(PRM.TAIL)})
-            AS INTEGER) AS prompt_chars
+       sha256({_prompt_sql("ctx.context", "q.question")}) AS prompt_sha256
 FROM qs q LEFT JOIN ctx USING (question_id)""")
 def answer_prompts(spark, d):
     """X2 without a generator: every user turn gets its k = 3 context and
-    prompt (rows-only)."""
+    prompt, compared by its digest."""
     from ..plans.serve import answer
     idx, emb = _built_index(spark, d)
     prompts, _ = answer(_questions(spark, d), idx, emb, 3)
-    return prompts.select("question_id", "n_contexts", F.length("prompt").alias("prompt_chars"))
+    return prompts.select("question_id", "n_contexts", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@register("search_status", f"""
+WITH a AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id,
+                  CASE WHEN (conv_id + turn) % 5 = 0 THEN ' ' WHEN conv_id % 97 = 0 THEN text || ' secret' ELSE text END AS question
+           FROM conversations WHERE role = 'user'),
+v AS (SELECT *, substr(md5(question_id), 1, 1) AS g FROM a WHERE trim(question) <> ''),
+b AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY question_id) - 1) // {schema.EMBED_BATCH_SIZE} AS slice FROM v),
+bad AS (SELECT g, slice, bool_or(regexp_matches(question, {O.q(REFUSED)})) AS refused FROM b GROUP BY ALL)
+SELECT question_id, CASE WHEN refused THEN 'failed' ELSE 'answered' END AS status,
+       CASE WHEN refused THEN 'RuntimeError: batch refused by the embedding service' END AS error, CASE WHEN refused THEN 0 ELSE 3 END AS hits
+FROM b JOIN bad USING (g, slice)
+UNION ALL SELECT question_id, 'rejected', NULL, 0 FROM a WHERE trim(question) = ''""")
+def search_status(spark, d):
+    """What became of every question: some are blank, some are refused by the
+    model with the batch they are in, the rest are answered (3 hits each)."""
+    from ..plans.serve import find, question_status
+    by = F.col("conv_id") + F.col("turn")
+    asked = table(spark, d, "conversations").filter(F.col("role") == "user").select(
+        F.concat_ws(":", "conv_id", "turn").alias("question_id"),
+        F.when(by % 5 == 0, " ").when(F.col("conv_id") % 97 == 0, F.concat("text", F.lit(" secret")))
+        .otherwise(F.col("text")).alias("question"))
+    e = table(spark, d, "embeddings")
+    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    valid, _ = P.split_questions(asked, "question")
+    hits, failed = find(valid, idx, FailingEmbedder(HashingEmbedder(64), REFUSED), 3)
+    n = hits.groupBy("question_id").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    return (question_status(asked, failed).join(n, "question_id", "left")
+            .select("question_id", "status", "error", F.coalesce("hits", F.lit(0)).alias("hits")))
 
 
 @register("chunk_documents", f"""

@@ -86,29 +86,41 @@ def explode_records(pages: DataFrame) -> DataFrame:
 
 
 def completeness(pages: DataFrame) -> DataFrame:
-    """S2 per region: expected = total_count of the first page (smallest
-    offset), actual = records read. Broken pages count as pages but add no
-    records. ``complete`` follows the paging stop rule (actual >= expected);
-    a total of 0 means an empty, complete result."""
-    n = F.when(~is_bad_page(pages), F.size("results")).otherwise(F.lit(0))
-    return (pages.groupBy("region")
-            .agg(F.min_by("total_count", "offset").alias("expected"),
-                 F.sum(n).cast("long").alias("actual"),
+    """S2 per region (null where the source has none): expected =
+    total_count of the first page (smallest offset), actual = records read.
+    A page landed twice counts once, and as good if one of its copies is;
+    pages without an offset count each. Broken pages add no records.
+    ``complete`` follows the paging stop rule (actual >= expected); a total
+    of 0 means an empty, complete result. Where the first page is broken
+    the total is unknown: ``expected`` and ``complete`` are null if all
+    other pages are good, and ``complete`` is false if any is broken."""
+    n = F.when(~is_bad_page(pages), F.size("results"))
+    own = F.when(F.col("offset").isNull(), F.xxhash64("_file", CORRUPT, F.to_json("results")))
+    once = (pages.select("region", "offset", own.alias("_own"), n.alias("_n"), "total_count")
+            .groupBy("region", "offset", "_own")
+            .agg(F.max("_n").cast("long").alias("_n"), F.max("total_count").alias("total_count")))
+    return (once.groupBy("region")
+            .agg(F.coalesce(F.min_by("total_count", "offset"), F.when(F.count("offset") == 0, F.max("total_count")))
+                 .alias("expected"),
+                 F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("actual"),
                  F.count(F.lit(1)).alias("pages"),
-                 F.sum(F.when(is_bad_page(pages), 1).otherwise(0)).cast("long").alias("bad_pages"))
-            .withColumn("complete", (F.col("bad_pages") == 0)
-                        & (F.coalesce("actual", F.lit(0)) >= F.coalesce("expected", F.lit(0)))))
+                 F.count(F.when(F.col("_n").isNull(), 1)).cast("long").alias("bad_pages"))
+            .withColumn("complete", F.when(F.col("bad_pages") > 0, F.lit(False))
+                        .otherwise(F.col("actual") >= F.col("expected"))))
 
 
 def readable_prefix(pages: DataFrame) -> DataFrame:
     """S3: what the paging loop would have kept: per region the pages before
-    the first broken one. The first-bad offsets are one row per region and
-    join back as a small aggregate, not a per-page scan."""
-    first_bad = (pages.filter(is_bad_page(pages)).groupBy("region")
-                 .agg(F.min("offset").alias("_first_bad")))
-    joined = pages.join(first_bad, "region", "left")
+    the first broken one; pages without a region form one source. A broken
+    page whose offset cannot be recovered may have been the first, so
+    nothing of its source is kept; a good page without an offset is kept
+    only where no page is broken. The first-bad offsets are one row per
+    region and join back as a small aggregate, not a per-page scan."""
+    first_bad = (pages.filter(is_bad_page(pages)).groupBy(F.col("region").alias("_region"))
+                 .agg(F.min(F.coalesce("offset", F.lit(0).cast("long"))).alias("_first_bad")))
+    joined = pages.join(first_bad, F.col("region").eqNullSafe(F.col("_region")), "left")
     kept = joined.filter(F.col("_first_bad").isNull() | (F.col("offset") < F.col("_first_bad")))
-    return kept.drop("_first_bad")
+    return kept.drop("_first_bad", "_region")
 
 
 def pack_pages(records: DataFrame, region_col: str, order_col: str,

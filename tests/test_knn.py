@@ -62,9 +62,7 @@ def test_matches_brute_force(spark, strategy):
     assert got == expect
 
 
-def test_two_level_final_rank_matches(spark, monkeypatch):
-    from lectern.operators import knn as K
-    monkeypatch.setattr(K, "SALT_FROM_TASKS", 2)
+def test_two_level_final_rank_matches(spark):
     e = spark.read.parquet(f"{SF001}/embeddings.parquet").repartition(9)
     rows = e.orderBy("vec_id").collect()
     expect = _brute([r.embedding for r in rows], [r.vec_id for r in rows], 3)
@@ -93,3 +91,32 @@ def test_many_small_batches_match(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == expect
+
+
+def test_question_of_another_length_is_an_error(spark):
+    idx = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", [1.0])], "chunk_id string, vector array<float>")
+    good = [(1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    qs = spark.createDataFrame(good + [(3, None)], "question_id long, vector array<float>")
+    assert sorted((r.question_id, r.chunk_id) for r in knn(qs, idx, 1).collect()) == [(1, "a"), (2, "b")]
+    odd = spark.createDataFrame(good + [(4, [1.0, 2.0, 3.0])], "question_id long, vector array<float>")
+    import pytest
+    with pytest.raises(ValueError, match="1 questions"):
+        knn(odd, idx, 1)
+
+
+def test_many_ties_stay_bounded(spark, monkeypatch):
+    """Zero questions tie with every vector: candidates are pruned block by
+    block, and both plans agree."""
+    from lectern.operators import knn as K
+    monkeypatch.setattr(K, "_BLOCK_CELLS", 20_000)
+    monkeypatch.setattr(K, "_EXACT_ROWS", 1000)
+    most = []
+    merge = K.TopK._merge
+    monkeypatch.setattr(K.TopK, "_merge", lambda self, qi, *a: (most.append(len(qi)), merge(self, qi, *a))[1])
+    import numpy as np
+    import pyarrow as pa
+    tk = K.TopK(np.zeros((1000, 8), np.float32), 3, "id")
+    ids = [f"{i:04d}" for i in range(2000)]
+    tk.add(pa.table({"id": ids, "v": pa.array([[1.0] * 8] * 2000, pa.list_(pa.float32()))}), "v")
+    assert max(most) <= 20_000 and tk.state.num_rows == 3000
+    assert set(tk.state.column("_id").to_pylist()) == {"0000", "0001", "0002"}

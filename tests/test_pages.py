@@ -68,3 +68,47 @@ def test_one_file_per_page(spark, tmp_path):
     pages = PG.read_landed_pages(spark, str(tmp_path), multi_line=True)
     rec = PG.explode_records(pages).orderBy("_ord").collect()
     assert [r._ord for r in rec] == [0, 1, 100, 101]
+
+
+def _plain(offset, total, n):
+    """The source's own envelope: no region, no offset."""
+    p = _page(offset, total, n)
+    return {"total_count": p["total_count"], "results": p["results"]}
+
+
+def _land_files(path, pages, broken=()):
+    for off, p in pages:
+        text = json.dumps(p)
+        with open(path / f"page_{off}.json", "w") as f:
+            f.write(text[: len(text) // 2] if off in broken else text)
+
+
+def test_plain_envelope_keeps_the_prefix(spark, tmp_path):
+    _land_files(tmp_path, [(0, _plain(0, 250, 100)), (100, _plain(100, 250, 100)), (200, _plain(200, 250, 50))], broken={100})
+    pages = PG.read_landed_pages(spark, str(tmp_path), multi_line=True)
+    kept = PG.explode_records(PG.readable_prefix(pages))
+    assert (kept.count(), kept.agg({"_ord": "max"}).first()[0]) == (100, 99)
+    c = PG.completeness(pages).first()
+    assert (c.region, c.expected, c.actual, c.bad_pages, c.complete) == (None, 250, 150, 1, False)
+
+
+def test_broken_page_without_an_offset_keeps_nothing(spark, tmp_path):
+    _land(str(tmp_path), [_plain(0, 150, 100), _plain(100, 150, 50)], broken={1})
+    pages = PG.read_landed_pages(spark, str(tmp_path))
+    assert PG.readable_prefix(pages).count() == 0
+    _land(str(tmp_path / "whole"), [_plain(0, 150, 100), _plain(100, 150, 50)])
+    whole = PG.read_landed_pages(spark, str(tmp_path / "whole"))
+    assert PG.readable_prefix(whole).count() == 2
+    assert PG.completeness(whole).first().complete
+
+
+def test_page_landed_twice_counts_once(spark, tmp_path):
+    _land(str(tmp_path), [_page(0, 200, 100), _page(0, 200, 100)])
+    c = PG.completeness(PG.read_landed_pages(spark, str(tmp_path))).first()
+    assert (c.expected, c.actual, c.pages, c.complete) == (200, 100, 1, False)
+
+
+def test_broken_first_page_leaves_the_total_unknown(spark, tmp_path):
+    _land(str(tmp_path), [_page(0, 150, 100), _page(100, 150, 50)], broken={0})
+    c = PG.completeness(PG.read_landed_pages(spark, str(tmp_path))).first()
+    assert (c.expected, c.actual, c.complete) == (None, 50, False)
