@@ -792,3 +792,86 @@ def evaluate_job(spark, d):
     idx, emb = _built_index(spark, d)
     _, per_q, _, _ = evaluate(_questions(spark, d), idx, emb, k=5, judge=lexical_judge)
     return per_q.select("question_id", F.round("context_precision", 6).alias("context_precision"))
+
+
+# --- the whole build from landed pages (S1 S4 P1 P2 P3 X1), and rebuilds (X5 X6 P11 S7) ---
+
+def _land_document_pages(spark, d) -> str:
+    """``documents`` as landed pages of the source's records, with several
+    text fields, a keyword list, dates and two regions."""
+    from ..session import scratch_path
+    docs = table(spark, d, "documents")
+    region = F.when(F.col("doc_id") % 3 == 0, "Bretagne").otherwise(schema.DEFAULT_REGION)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 40).cast("int"))
+    recs = docs.select(
+        "doc_id", F.col("doc_id").cast("string").alias("uid"), F.col("source").alias("title_fr"),
+        F.col("text").alias("description_fr"), F.array("lang", "source").alias("keywords_fr"),
+        F.date_format(day, "yyyy-MM-dd").alias(schema.DATE_FIELD), F.col("lang").alias("location_city"),
+        region.alias(schema.REGION_FIELD))
+    packed = PG.pack_pages(recs, schema.REGION_FIELD, "doc_id", [c for c in recs.columns if c != "doc_id"])
+    path = scratch_path(spark, "landed-documents")
+    packed.select("value").write.text(path)
+    return path
+
+
+_JOINED_ORDER = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(schema.JOINED_COLUMNS))
+
+
+@register("build_from_pages", f"""
+WITH r AS (SELECT doc_id, source AS titre, text AS description, lang || ', ' || source AS mots_cles, lang AS ville FROM documents
+           WHERE doc_id % 3 <> 0 AND doc_id % 40 BETWEEN 4 AND 24),
+long AS (UNPIVOT r ON titre, description, mots_cles, ville INTO NAME col VALUE v),
+{O.clean_text_ctes('long', 'doc_id', 'v', 'clean', extra='col')},
+comb AS (SELECT doc_id, string_agg(clean, '{schema.JOIN_SEPARATOR}' ORDER BY CASE col {_JOINED_ORDER} END) AS clean
+         FROM _c WHERE clean <> '' GROUP BY doc_id),
+f AS (SELECT * FROM comb WHERE length(clean) >= {schema.DEFAULT_MIN_CHARS}),
+keep AS (SELECT min(doc_id) AS doc_id FROM f GROUP BY {O.fingerprint_text('clean')}),
+src AS (SELECT f.doc_id, f.clean AS t FROM f JOIN keep USING (doc_id)),
+{O.splitter_chunks_sql('src', schema.DEFAULT_CHUNK_SIZE, schema.DEFAULT_CHUNK_OVERLAP)}
+SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS chunk_id, chunk_no, c.text, d.source AS titre,
+       d.lang || ', ' || d.source AS mots_cles, d.lang AS ville,
+       strftime(DATE '2024-01-01' + CAST(doc_id % 40 AS INTEGER), '%Y-%m-%d') AS date_debut, '{schema.DEFAULT_SOURCE}' AS source
+FROM chunks c JOIN documents d USING (doc_id)""")
+def build_from_pages(spark, d):
+    """X1 end to end: landed pages, region and date window, shape, clean,
+    filter, dedup, chunk, embed, verify, publish; the published rows."""
+    from ..plans.build import build_index, prepare_records
+    from ..session import scratch_path
+    records = PG.explode_records(PG.readable_prefix(PG.read_landed_pages(spark, _land_document_pages(spark, d))))
+    records = prepare_records(records.drop("region"), schema.DEFAULT_REGION, as_of="2024-01-15", days=10)
+    emb, path = HashingEmbedder(32), scratch_path(spark, "index-from-pages")
+    rep = build_index(records, path, emb)
+    if not rep.ok:
+        raise RuntimeError(f"index build failed: {rep.reason}")
+    return IX.load(spark, path, emb.name, emb.dim).select(
+        "chunk_id", "chunk_no", "text", "titre", "mots_cles", "ville", "date_debut", "source")
+
+
+@register("rebuild_status", f"""
+WITH {_DOC_CHUNKS_SQL}, n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM ck)
+SELECT 'not ready' AS step, false AS published, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS vectors
+UNION ALL SELECT 'empty input', false, 0, 0
+UNION ALL SELECT 'build', true, 1, n FROM n
+UNION ALL SELECT 'failed rebuild', false, 1, n FROM n
+UNION ALL SELECT 'rebuild', true, 2, n FROM n""")
+def rebuild_status(spark, d):
+    """What readers see after each step: nothing published yet, an empty
+    input, a first build, a rebuild whose model refuses every batch, and a
+    rebuild that works."""
+    from ..plans.build import rebuild_index
+    from ..session import scratch_path
+    path, emb = scratch_path(spark, "rebuilds"), HashingEmbedder(16)
+    records = documents_as_records(table(spark, d, "documents"))
+
+    def seen(step, ok):
+        try:
+            version = int(IX.current(spark, path)["version"])
+            return step, ok, version, IX.cardinality(IX.load(spark, path, emb.name, emb.dim))
+        except IX.IndexNotFound:
+            return step, ok, 0, 0
+
+    rows = [seen("not ready", False)]
+    for step, recs, model in (("empty input", records.limit(0), emb), ("build", records, emb),
+                              ("failed rebuild", records, FailingEmbedder(emb, ".")), ("rebuild", records, emb)):
+        rows.append(seen(step, rebuild_index(recs, path, model, source=DOCS_SOURCE).ok))
+    return spark.createDataFrame(rows, "step string, published boolean, version long, vectors long")
