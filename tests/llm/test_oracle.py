@@ -1,0 +1,27 @@
+"""Every SQL twin of this package's queries, at sf0.01."""
+
+import os
+
+import duckdb
+import pytest
+from conftest import SF01
+
+from lectern.llm import queries as Q
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(SF01):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF01}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", Q.ORACLES)
+def test_query_matches_its_sql(spark, duck, name):
+    ours = Q.QUERIES[name](spark, SF01).toPandas()
+    theirs = duck.execute(Q.ORACLES[name]).df()
+    cols = sorted(ours.columns)
+    assert cols == sorted(theirs.columns)
+    rows = [sorted(map(str, x[cols].astype(object).where(x[cols].notna(), None).values.tolist())) for x in (ours, theirs)]
+    assert rows[0] == rows[1] and rows[0]
