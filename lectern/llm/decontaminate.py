@@ -20,8 +20,6 @@ once; repeated document rows each get their own result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -307,8 +305,3 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(text[at:found[a][0]])
         at = found[b - 1][1]
     return "".join(out) + text[at:]
-
-
-def digest(items: list[str]) -> str:
-    """The result's digest of item ids, for tests and other callers."""
-    return hashlib.sha256(",".join(items).encode("utf-8")).hexdigest()

@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Bytes of queries (as 64-bit floats) that one pass broadcasts.
@@ -156,6 +155,3 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_co
     first = merged(lists.select("query_row", "query_id", group, "vec_id", "score"), "shard").drop("rank")
     return merged(first).select("query_id", "rank", "vec_id", "score")
 
-
-RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()),
-                       T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Payloads from this size on are shared.
 LEAST_BYTES = 1000
 #: Plain bytes from which a frame is closed, compressed bytes from which a
@@ -64,7 +66,7 @@ def record_types(pages: DataFrame, id_col: str, url_col: str, payload_col: str)
     large = rows.filter(F.col("size") >= LEAST_BYTES).withColumn("same", F.unhex(F.sha2("payload", 256)))
     groups = (large.groupBy("same").agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") > 1).select("same", "first_id"))
-    joined = large.join(groups.repartition("same"), "same", "left")
+    joined = large.join(stored(groups, "archive-groups"), "same", "left")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id")), F.lit(False))
     shared = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")) \
         .withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("same", "first_id")
