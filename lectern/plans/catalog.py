@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import oracle as O
@@ -266,6 +266,14 @@ def _emb_hits(spark, d, k, carry=()):
     return KNN.knn(qs, idx, k, carry=list(carry))
 
 
+def _other_hits(spark, d, k, carry=()):
+    """The k nearest vectors besides the question's own, which would be its
+    own best hit and make every metric look better."""
+    h = _emb_hits(spark, d, k + 1, carry).filter(F.col("question_id") != F.col("chunk_id"))
+    w = Window.partitionBy("question_id").orderBy("rank")
+    return h.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def _sq(a, b):
     return (f"list_sum(list_transform(list_zip({a}, {b}), lambda x: "
             f"(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))))")
@@ -276,12 +284,13 @@ def _dot(a, b):
             f"CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))")
 
 
-def _hits_sql(k):
+def _hits_sql(k, others=False):
+    but_itself = "WHERE q.vec_id <> v.vec_id" if others else ""
     return f"""hits AS (
   SELECT question_id, chunk_id, distance, rank FROM (
     SELECT q.vec_id AS question_id, v.vec_id AS chunk_id, {_sq('q.embedding', 'v.embedding')} AS distance,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY {_sq('q.embedding', 'v.embedding')}, v.vec_id) AS rank
-    FROM embeddings q CROSS JOIN embeddings v) WHERE rank <= {k})"""
+    FROM embeddings q CROSS JOIN embeddings v {but_itself}) WHERE rank <= {k})"""
 
 
 def _knn_query(k):
@@ -392,14 +401,14 @@ def metric_context_recall(spark, d):
 
 def _judged_hits(spark, d, k=5, hits=None):
     e = table(spark, d, "embeddings")
-    hits = _emb_hits(spark, d, k) if hits is None else hits
+    hits = _other_hits(spark, d, k) if hits is None else hits
     lq = e.select(F.col("vec_id").alias("question_id"), F.col("label").alias("lq"))
     lv = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("lv"))
     return (hits.join(lq, "question_id").join(lv, "chunk_id")
             .withColumn("relevant", (F.col("lq") == F.col("lv")).cast("int")))
 
 
-_PRECISION_SQL = f"""{_hits_sql(5)},
+_PRECISION_SQL = f"""{_hits_sql(5, others=True)},
 j AS (SELECT h.question_id, h.rank, CASE WHEN lq.label = lv.label THEN 1.0 ELSE 0.0 END AS rel
       FROM hits h JOIN embeddings lq ON lq.vec_id = h.question_id JOIN embeddings lv ON lv.vec_id = h.chunk_id),
 p AS (SELECT *, sum(rel) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rank AS prec FROM j),
@@ -414,7 +423,7 @@ def metric_context_precision(spark, d):
     return cp.select("question_id", F.round("context_precision", 6).alias("context_precision"))
 
 
-_RELEVANCY_SQL = f"""{_hits_sql(3)},
+_RELEVANCY_SQL = f"""{_hits_sql(3, others=True)},
 ar AS (SELECT h.question_id,
               avg({_dot('q.embedding', 'v.embedding')} /
                   (sqrt({_dot('q.embedding', 'q.embedding')}) * sqrt({_dot('v.embedding', 'v.embedding')}))) AS answer_relevancy
@@ -426,7 +435,7 @@ def _relevancy(spark, d, hits=None):
     """A8 with the 3 nearest vectors as the generated questions; ``hits``
     (with vectors, k >= 3) can be shared with another metric."""
     e = table(spark, d, "embeddings")
-    hits = _emb_hits(spark, d, 3, carry=["vector"]) if hits is None else hits
+    hits = _other_hits(spark, d, 3, carry=["vector"]) if hits is None else hits
     gen = hits.filter(F.col("rank") <= 3).select(
         "question_id", F.col("rank").alias("gen_no"), "vector")
     qv = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
@@ -442,7 +451,7 @@ def metric_answer_relevancy(spark, d):
 
 
 @register("metric_gate", f"""
-WITH {_PRECISION_SQL}, {_RELEVANCY_SQL.replace(_hits_sql(3), 'hits3 AS (SELECT * FROM hits WHERE rank <= 3)').replace('FROM hits h', 'FROM hits3 h')},
+WITH {_PRECISION_SQL}, {_RELEVANCY_SQL.replace(_hits_sql(3, others=True), 'hits3 AS (SELECT * FROM hits WHERE rank <= 3)').replace('FROM hits h', 'FROM hits3 h')},
 f AS (SELECT avg(CAST(l.quality AS DOUBLE)) AS v FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source),
 r AS (SELECT avg(CAST(1 - l.toxic AS DOUBLE)) AS v FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source),
 means AS (
@@ -462,7 +471,7 @@ def metric_gate(spark, d):
     # checkpoint folder, so the index is scanned once.
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    hits5 = _emb_hits(spark, d, 5, carry=["vector"]).checkpoint(eager=True)
+    hits5 = _other_hits(spark, d, 5, carry=["vector"]).checkpoint(eager=True)
     parts = [
         M.metric_means(M.faithfulness(_label_verdicts(spark, d)), ["faithfulness"]),
         M.metric_means(M.context_recall(_label_verdicts(spark, d)), ["context_recall"]),
@@ -752,21 +761,21 @@ from ..functions.embedder import TOKEN_CLASS  # noqa: E402
 JUDGE_MIN_WORD = 4
 
 
-def _words(c):
+def _words(c, least):
     words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN_CLASS), 0)
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= JUDGE_MIN_WORD))
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= least))
 
 
-def lexical_judge(ds):
+def lexical_judge(ds, min_word: int = JUDGE_MIN_WORD):
     """Stand-in judge derived from the data: a context is relevant to its
-    question when they share a word of ``JUDGE_MIN_WORD`` or more
+    question when they share a word of ``min_word`` or more
     characters (words as the stand-in embedder reads them). Returns the
     ``relevant`` verdicts by rank."""
-    ctx = ds.select("question_id", _words(F.col("question")).alias("_qw"),
+    ctx = ds.select("question_id", _words(F.col("question"), min_word).alias("_qw"),
                     F.posexplode("contexts").alias("_pos", "_ctx"))
     return {"relevant": ctx.select(
         "question_id", (F.col("_pos") + 1).alias("rank"),
-        F.arrays_overlap("_qw", _words(F.col("_ctx"))).cast("int").alias("relevant"))}
+        F.arrays_overlap("_qw", _words(F.col("_ctx"), min_word)).cast("int").alias("relevant"))}
 
 
 @register("evaluate_job", f"""
