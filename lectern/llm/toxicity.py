@@ -31,8 +31,8 @@ from .decontaminate import _TO_SPACE
 EMPTY_WEIGHT = 0.25
 #: Labelled rows to learn from, at most, and bytes of their texts. A quarter
 #: of them only sets the scores' scale.
-SAMPLE_ROWS = 8000
-SAMPLE_BYTES = 48 << 20
+SAMPLE_ROWS = 6000
+SAMPLE_BYTES = 32 << 20
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 DIM = 4
@@ -46,6 +46,8 @@ PADDING = 1500.0
 LEAST_SHARE = 0.003
 #: Weight of a toxic row's loss against a clean one's.
 TOXIC_WEIGHT = 3.0
+#: Words whose n-grams are made together.
+TOGETHER = 20_000
 #: Words whose sums a task keeps.
 CACHE = 400_000
 
@@ -56,7 +58,16 @@ def words(text: str) -> list[bytes]:
 
 def grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all n-grams of the words, word after word, and how
-    many each word has. A window's hash is a polynomial over code points."""
+    many each word has; some words at a time, so that memory holds little
+    beside the result."""
+    parts = [_grams(vocabulary[i:i + TOGETHER]) for i in range(0, len(vocabulary), TOGETHER)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A window's hash is a polynomial over code points."""
     joined = "".join(f"<{w.decode('utf-8', 'replace')}>" for w in vocabulary)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     first = np.flatnonzero(code == ord("<"))       # neither sign is ever part of a word
@@ -79,7 +90,7 @@ def grams(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h, word = np.concatenate(found), np.concatenate(word)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.argsort(word, kind="stable")
-    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order], np.bincount(word, minlength=len(vocabulary))
+    return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)[order], np.bincount(word, minlength=len(vocabulary))
 
 
 def _sums(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -168,9 +179,9 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
         ref.append(np.fromiter(bag.keys(), np.int64, len(bag)))
         times.append(np.log2(1.0 + np.fromiter(bag.values(), np.float32, len(bag))))
         size.append(len(bag))
-    ref, times, size = np.concatenate(ref), np.concatenate(times), np.array(size)
-    doc = np.repeat(np.arange(len(docs)), size)
-    bucket, count = grams(list(number)) if number else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ref, times, size = np.concatenate(ref).astype(np.int32), np.concatenate(times).astype(np.float32), np.array(size)
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), size)
+    bucket, count = grams(list(number))
     start = np.cumsum(count) - count
     total = PADDING + np.bincount(doc, times * count[ref], len(docs))
     share = (times / total[doc]).astype(np.float32)
@@ -178,7 +189,7 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
     # N-grams that stand in few words of few texts say nothing about others:
     # they keep a zero row.
     held = np.bincount(ref, minlength=len(number))
-    common = np.bincount(bucket, np.repeat(held, count), BUCKETS) >= max(2.0, LEAST_SHARE * len(docs))
+    common = np.bincount(bucket, np.repeat(held.astype(np.float32), count), BUCKETS) >= max(2.0, LEAST_SHARE * len(docs))
     used = common[bucket]
     kept = np.add.reduceat(used, start) if len(start) else count
     bucket, start, count = bucket[used], np.cumsum(kept) - kept, kept
@@ -202,7 +213,7 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
         off = weight * (toxic - label)              # of the toxic logit; the other's is its negative
         both = np.stack([-off, off])
         word = np.bincount(ref, off[doc] * share, len(number))
-        gram = np.bincount(bucket, np.repeat(word, count), BUCKETS)
+        gram = np.bincount(bucket, np.repeat(word.astype(np.float32), count), BUCKETS)
         none = EMPTY_WEIGHT / (1.0 + np.exp(np.clip(bias[0] - bias[1], -50, 50)))
         slope = [np.outer(soft[1] - soft[0], gram), both @ hidden.T, both.sum(axis=1) + np.array([-none, none])]
         for i, (x, g, m) in enumerate(zip(params, slope, mean)):
