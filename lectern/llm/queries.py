@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, licenses, neardup, pii, secrets, topk, toxicity, warc
+from . import bpe, decontaminate, htmltext, licenses, neardup, pii, secrets, topk, toxicity, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -193,6 +193,14 @@ def op6(spark, d):
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+# --- 7: HTML extraction -------------------------------------------------------
+
+@register("op7_html_text")
+def op7(spark, d):
+    found = htmltext.extract(read(spark, d, "pages"), "page_id", "html")
+    return found.select(F.col("id").alias("page_id"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
 # --- 8: toxicity --------------------------------------------------------------
 
 #: A document is rejected from this score on.
