@@ -1,13 +1,14 @@
 """Operator 7: HTML extraction by layout-aware rendering.
 
 A tree builder closes what a start tag implies closed (paragraphs before
-blocks, list items, table rows and cells, definition terms, options); elements
-left open end with their parent. All visible text is emitted: not what script,
-style, template or head elements hold, nor elements that are ``hidden`` or
-styled ``display:none`` / ``visibility:hidden``. Blocks stand on lines of their
-own, paragraphs and headings with an empty line between, list items with their
-mark and depth, preformatted text as it is, and a table's cells in aligned
-columns. The tree is walked with an explicit stack, so depth is no limit.
+blocks, list items, table rows and cells, definition terms, options, the head
+before anything that is not head content); elements left open end with their
+parent. All visible text is emitted: not what script, style, template or head
+elements hold, nor elements that are ``hidden`` or styled ``display:none`` /
+``visibility:hidden``. Of drawings the ``text`` elements are seen, of formulas
+all but annotations. Blocks and options stand on lines of their own, paragraphs
+and headings with an empty line between, list items with their mark and depth,
+preformatted text as it is, and a table's cells in aligned columns. The tree is walked with an explicit stack, so depth is no limit.
 
 Null and empty pages give an empty text; repeated rows repeat.
 """
@@ -24,7 +25,8 @@ from .common import texts
 
 # Names of HTML's elements by their behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript svg math iframe object title select datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe title datalist".split())
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body dd details div dt fieldset figcaption footer form header html li main nav"
                            " section summary tr caption".split())
@@ -32,7 +34,16 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
           "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
           "tfoot": {"tr", "td", "th", "tbody"}, "thead": {"caption"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}}
+#: Lines of their own that close no paragraph; elements whose parts stand apart.
+LINES = frozenset("option optgroup".split())
+APART = frozenset("mfrac msup msub msubsup munder mover munderover mmultiscripts mroot mtr mtable".split())
+#: What a drawing or a formula holds unseen, and where HTML starts again inside.
+FOREIGN_UNSEEN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()),
+                  "math": frozenset("annotation annotation-xml".split())}
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _STYLED_AWAY = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+_FIRST_NEWLINE = re.compile(r"\A(?:\r\n?|\n)")
+_NEWLINE = re.compile(r"\r\n?")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -54,9 +65,12 @@ class _Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or (self.open[-1][0] == "head" and tag not in HEAD):
+            self._close({"head"}, ())
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPE.get(tag, {"table"}))
         if tag in BLOCK:
+            self._close({"svg", "math"}, INTEGRATION)
             self._close({"p"}, {"td", "th", "li", "div", "table"})
         node = [tag, dict(attrs), []]
         self.open[-1][2].append(node)
@@ -73,6 +87,10 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip(" \t\r\n\f"):
+            self._close({"head"}, ())
+        if self.open[-1][0] == "pre" and not self.open[-1][2]:
+            data = _FIRST_NEWLINE.sub("", data)
         self.open[-1][2].append(data)
 
 
@@ -103,6 +121,16 @@ class _Out:
         self.put(words.strip(" "))
         self.gap = self.gap or (words.endswith(" ") and self.breaks == 0)
 
+    def raw(self, data: str) -> None:
+        """Preformatted: newlines at the ends wait as breaks do."""
+        data = _NEWLINE.sub("\n", data)
+        body = data.strip("\n")
+        lead = len(data) - len(data.lstrip("\n"))
+        self.breaks += lead
+        if body:
+            self.put(body)
+            self.breaks = len(data) - lead - len(body)
+
     def text(self) -> str:
         return "".join(self.parts)
 
@@ -112,19 +140,28 @@ def render(html: str) -> str:
     tree.feed(html)
     tree.close()
     out, lists, tables, pre = [_Out()], [], [], 0
+    foreign: list = [("", True, None)]         # drawings and formulas around, and whether their text is seen
     todo: list = [(tree.root, True)]
     while todo:
         node, enter = todo.pop()
         if isinstance(node, str):
-            out[-1].put(node.strip("\n")) if pre else out[-1].inline(node)
+            if foreign[-1][1]:
+                out[-1].raw(node) if pre else out[-1].inline(node)
             continue
         tag, attrs, children = node
         if enter:
-            if tag in UNSEEN or "hidden" in attrs or _STYLED_AWAY.search(attrs.get("style") or ""):
+            if tag in UNSEEN or tag in FOREIGN_UNSEEN.get(foreign[-1][0], ()) or "hidden" in attrs or _STYLED_AWAY.search(attrs.get("style") or ""):
                 continue
             if tag == "br":
-                out[-1].line(1)
+                out[-1].raw("\n") if pre else out[-1].line(1)
                 continue
+            if tag in FOREIGN_UNSEEN:
+                foreign.append((tag, tag == "math", node))
+            elif foreign[-1][0] == "svg" and tag in ("text", "foreignobject"):
+                foreign.append(("svg" if tag == "text" else "", True, node))
+                out[-1].line(1)
+            if tag in LINES:
+                out[-1].line(1)
             if tag in BLOCK:
                 out[-1].line(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol"):
@@ -141,9 +178,19 @@ def render(html: str) -> str:
                 out.append(_Out())
             pre += tag == "pre"
             todo.append((node, False))
+            if tag in APART:
+                children = [x for c in children for x in (c, " ")]
             todo += [(c, True) for c in reversed(children)]
             continue
-        pre -= tag == "pre"
+        if tag == "pre":
+            pre -= 1
+            out[-1].breaks = 0
+        if foreign[-1][2] is node:
+            foreign.pop()
+            if tag in ("text", "foreignobject"):
+                out[-1].line(1)
+        if tag in LINES:
+            out[-1].line(1)
         if tag in ("ul", "ol"):
             lists.pop()
         elif tag in ("td", "th") and tables and len(out) > 1:

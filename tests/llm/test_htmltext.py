@@ -12,3 +12,19 @@ from lectern.llm.htmltext import render
 ])
 def test_render(html, text):
     assert render(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<head><title>t</title><body><p>text", "text"), ("<head><title>t</title><p>text", "text"),
+    ("<html><head><meta charset=x><style>s</style>\n bare text", "bare text"),
+    ("<head><title>t</title><script>no</script></head><body>text", "text"),
+    ("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>", "x=1 2"),
+    ("<p>Pick <select><option>one<option selected>two</select> now", "Pick\none\ntwo\nnow"),
+    ("<object data=x>fall <b>back</b></object>", "fall back"),
+    ("<svg><title>no</title><defs><text>no</text></defs><g>no<text>a<tspan>b</tspan></text><text>c</text></g></svg>d", "ab\nc\nd"),
+    ("<svg><path d=x><p>after", "after"),
+    ("<pre><span>a</span>\n<span>b</span></pre>", "a\nb"), ("<p>x</p><pre>\r\na\r\n\r\n  b<br>c\n</pre>y", "x\n\na\n\n  b\nc\n\ny"),
+    ("<pre>a <i> b</i>\n\n<i>c</i></pre>", "a  b\n\nc"),
+])
+def test_no_visible_text_goes(html, text):
+    assert render(html) == text
