@@ -3,11 +3,13 @@
 Native: DataFrame functions only. One pass over the texts finds each row's
 licence words (words of the templates, function words aside) with their
 places, and the places of the fixed phrases. Document frequencies of the
-licence words over the whole corpus give their IDF. A row's highest-IDF
-licence words are looked up in the templates' postings; each meeting votes
-for the place where the template would start, and votes that agree by
-relative position, from enough different words, make a candidate. A candidate
-counts once its template's mandatory phrase stands at that very place.
+licence words over the whole corpus give their IDF. In rows where a mandatory
+phrase stands, the words that are rare in a template propose the places where
+it would start: its highest-IDF words, so many that the others together stay
+below the least share, so that no place that reaches it goes unproposed. A
+proposal is a candidate once the mandatory phrase stands at that very place.
+All licence words of the row then vote for the candidates by relative
+position; one counts with enough different words and share of the weight.
 
 Counts of words combine per task before they move; a row's votes are grouped
 by row. Only the licence words' IDF (at most as many as the templates have
@@ -21,6 +23,7 @@ of ``BASE`` stands, else the best candidate's share of its template's weight.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +57,8 @@ TEMPLATES = {
 }
 _FUNCTION_WORDS = frozenset("a an and any are as by can for form forms in is it may not of on or that the this to use with you v 0 2".split())
 
-#: Rare licence words of a row that are looked up, different words that must
-#: agree on a place, and the share of the template's weight they must reach.
-LOOKED_UP = 12
+#: Different words that must agree on a place, and the share of the template's
+#: weight they must reach.
 AGREE = 3
 LEAST_SHARE = 0.5
 
@@ -116,31 +118,50 @@ def _idf(rows: DataFrame) -> dict[str, float]:
 def _candidates(rows: DataFrame, idf: dict[str, float]) -> DataFrame:
     """``row, label, share`` of every verified template."""
     ranked = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, idf[w])))
-    postings: dict[str, list[tuple[str, int]]] = {}
-    for label, (text, _) in TEMPLATES.items():
-        for at, w in enumerate(text.split()):
-            if w in idf:
-                postings.setdefault(w, []).append((label, at))
-    posting_map = F.create_map(*(x for w in VOCABULARY for x in (F.lit(w), F.array(*(
-        F.struct(F.lit(t).alias("label"), F.lit(at).alias("at")) for t, at in postings[w])))))
-    weight = {t: sum(idf[w] for w in set(text.split()) & idf.keys()) for t, (text, _) in TEMPLATES.items()}
-
-    some = rows.filter(F.size("found") >= AGREE)
-    own = F.array_sort(F.transform(F.array_distinct(F.col("found.word")), lambda w: F.struct((-ranked[w]).alias("idf"), w.alias("word"))))
-    looked = some.withColumn("rare", F.slice(own, 1, LOOKED_UP)["word"])
-    hits = looked.select("row", "phrases", F.explode(F.filter("found", lambda x: F.array_contains("rare", x["word"]))).alias("f"))
-    votes = hits.select("row", "f.word", (F.lit(0) + F.col("f.at")).alias("at"), F.explode(posting_map[F.col("f.word")]).alias("p"))
-    placed = (votes.groupBy("row", F.col("p.label").alias("label"), (F.col("at") - F.col("p.at")).alias("start"))
-              .agg(F.collect_set("word").alias("words")).filter(F.size("words") >= AGREE))
-    total = F.create_map(*(F.lit(x) for t in weight for x in (t, weight[t])))
-    share = F.aggregate("words", F.lit(0.0), lambda s, w: s + ranked[w]) / total[F.col("label")]
-    good = placed.withColumn("share", F.least(share, F.lit(1.0))).filter(F.col("share") >= LEAST_SHARE)
+    # Added up as the shares are, so that a whole template has share 1.
+    weight = {t: reduce(lambda s, w: s + idf[w], sorted(set(text.split()) & idf.keys()), 0.0) for t, (text, _) in TEMPLATES.items()}
     must = {t: (len(BASE) + i, _offset(text.split(), p.split())) for i, (t, (text, p)) in enumerate(TEMPLATES.items())}
     which = F.create_map(*(F.lit(x) for t in must for x in (t, must[t][0])))
     offset = F.create_map(*(F.lit(x) for t in must for x in (t, must[t][1])))
-    checked = good.join(rows.select("row", "phrases"), "row").filter(F.array_contains(
-        F.get("phrases", which[F.col("label")]), (F.col("start") + offset[F.col("label")]).cast("long")))
-    return checked.groupBy("row", "label").agg(F.max("share").alias("share"))
+
+    def votes(rows: DataFrame, words: dict[str, set[str]]) -> DataFrame:
+        """``row, word, label, start`` for each licence word of the rows and
+        each place of it in the templates that take it from ``words``."""
+        postings: dict[str, list[tuple[str, int]]] = {}
+        for label, (text, _) in TEMPLATES.items():
+            for at, w in enumerate(text.split()):
+                if w in words[label]:
+                    postings.setdefault(w, []).append((label, at))
+        places = F.create_map(*(x for w in postings for x in (F.lit(w), F.array(*(
+            F.struct(F.lit(t).alias("label"), F.lit(at).alias("at")) for t, at in postings[w])))))
+        hits = rows.select("row", F.explode(F.filter("found", lambda x: x["word"].isin(sorted(postings)))).alias("f"))
+        each = hits.select("row", "f.word", (F.lit(0) + F.col("f.at")).alias("at"), F.explode(places[F.col("f.word")]).alias("p"))
+        return each.select("row", "word", F.col("p.label").alias("label"), (F.col("at") - F.col("p.at")).alias("start"))
+
+    stands = F.exists(F.slice("phrases", len(BASE) + 1, len(TEMPLATES)), lambda x: F.size(x) > 0)
+    some = rows.filter((F.size("found") >= AGREE) & stands)
+    proposed = votes(some, {t: _rare(t, idf) for t in TEMPLATES}).select("row", "label", "start").distinct()
+    candidates = proposed.join(some.select("row", "phrases"), "row").filter(F.array_contains(
+        F.get("phrases", which[F.col("label")]), (F.col("start") + offset[F.col("label")]).cast("long"))).select("row", "label", "start")
+    every = votes(some, {t: set(text.split()) & idf.keys() for t, (text, _) in TEMPLATES.items()})
+    placed = (every.join(candidates, ["row", "label", "start"], "left_semi").groupBy("row", "label", "start")
+              .agg(F.collect_set("word").alias("words")).filter(F.size("words") >= AGREE))
+    total = F.create_map(*(F.lit(x) for t in weight for x in (t, weight[t])))
+    share = F.aggregate(F.array_sort("words"), F.lit(0.0), lambda s, w: s + ranked[w]) / total[F.col("label")]
+    good = placed.withColumn("share", F.least(share, F.lit(1.0))).filter(F.col("share") >= LEAST_SHARE)
+    return good.groupBy("row", "label").agg(F.max("share").alias("share"))
+
+
+def _rare(label: str, idf: dict[str, float]) -> set[str]:
+    """The template's rarest licence words, so many that the rest of them
+    weigh less than the least share (and a little, for rounding)."""
+    own = sorted(set(TEMPLATES[label][0].split()) & idf.keys(), key=lambda w: (-idf[w], w))
+    rest, n = sum(idf[w] for w in own), 0
+    least = LEAST_SHARE * rest * (1 - 1e-9)
+    while rest >= least:
+        rest -= idf[own[n]]
+        n += 1
+    return set(own[:n])
 
 
 def _offset(text: list[str], phrase: list[str]) -> int:

@@ -58,3 +58,31 @@ def test_repeated_rows_and_empty_table(spark):
 def test_each_template_holds_its_phrase(label):
     text, phrase = L.TEMPLATES[label]
     assert phrase in text and len(set(text.split()) - L._FUNCTION_WORDS) >= L.AGREE
+
+
+def test_texts_with_several_licences(spark):
+    from itertools import combinations
+
+    held = [c for n in (1, 2, 3, len(L.TEMPLATES)) for c in combinations(L.TEMPLATES, n)]
+    texts = [" filler words between ".join(L.TEMPLATES[t][0] for t in c) for c in held]
+    # One licence among the words of all the others.
+    loose = " ".join(reversed(L.VOCABULARY))
+    texts += [f"{loose} {L.TEMPLATES[t][0]} {loose}" for t in L.TEMPLATES]
+    held += [(t,) for t in L.TEMPLATES]
+    got = by_id(L.scan(documents(spark, texts).repartition(4), "text", ["doc_id"]).select("keep.doc_id", "labels", "score").collect())
+    for i, labels in enumerate(held):
+        assert (got[i][0].labels, got[i][0].score) == (sorted(labels), 1.0), labels
+
+
+def test_the_share_counts_all_words_at_their_places(spark):
+    """The rarest words of the template are gone from the place; the rest decides."""
+    idf = {w: 1.0 for w in L.VOCABULARY}
+    own = MIT.split()
+    for kept in range(len(own) + 1):
+        known = set(own[:kept]) & idf.keys()
+        if len(known) >= L.LEAST_SHARE * len(set(own) & idf.keys()):
+            assert known & L._rare("mit", idf)
+    cut = [" ".join(own[:n]) for n in range(8, len(own) + 1)]
+    got = by_id(L.scan(documents(spark, cut), "text", ["doc_id"]).select("keep.doc_id", "labels", "score").collect())
+    scores = [got[i][0].score for i in range(len(cut))]
+    assert scores[-1] == 1.0 and scores == sorted(scores)
