@@ -6,8 +6,9 @@ the next stage's ``docs``. All but the last return the columns of
 ``documents``:
 
 * toxicity: documents that score ``TOXIC_FROM`` or more go;
-* near_dedup: one document of each group of near copies stays (the lowest
-  id; five-word shingles, similarity 0.8), and of rows that repeat it, one;
+* near_dedup: one row of each group of near copies stays (the lowest id's
+  first row; five-word shingles, similarity 0.8); rows without words are copies
+  where they share id and text;
 * decontaminate: documents that hold a benchmark window go;
 * secrets: values that only one owner holds, or too few to be a copied
   example, are replaced by a mark in the text; ``n_chars`` follows;
@@ -17,8 +18,8 @@ the next stage's ``docs``. All but the last return the columns of
 
 Null texts count as empty and stay. A document without an id stays unless it is
 toxic or contaminated. Documents that share an id but not a text are told apart
-by no stage but the dedup, which keeps both if neither is a copy. Other columns than those of ``documents``
-are not carried. An empty table passes through.
+by no stage but the dedup, which judges each row by its own text. Other columns
+than those of ``documents`` are not carried. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -41,14 +42,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = stored(neardup.near_duplicates(docs, "doc_id", "text").filter("id is not null"), "dedup-classes")
-    fate = classes.groupBy(F.col("id").alias("doc_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    fate = stored(fate.filter("not kept or n > 1"), "dedup-fate")
-    rows = docs.select(*COLUMNS)
-    once = rows.join(fate.select("doc_id"), "doc_id", "left_anti")
-    # Rows that repeat an id and its text are copies of each other, too.
-    repeat = rows.join(fate.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeat)
+    # Rows have numbers of their own: ids may repeat, with other texts.
+    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    classes = stored(neardup.near_duplicates(rows, "row", "text").select(
+        F.col("id").alias("row"), F.col("component_id").alias("copies"), "n_shingles"), "dedup-classes")
+    named = rows.filter("doc_id is not null")
+    worded = named.select("row", "doc_id").join(classes.filter("n_shingles > 0").select("row", "copies"), "row")
+    best = worded.groupBy("copies").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    wordless = named.join(classes.filter("n_shingles = 0").select("row"), "row", "left_semi")
+    single = wordless.groupBy("doc_id", "text").agg(F.min("row").alias("row")).select("row")
+    kept = named.join(stored(best.unionByName(single), "dedup-kept"), "row", "left_semi")
+    return kept.unionByName(rows.filter("doc_id is null")).select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,16 @@ def test_empty_documents(spark, scratch):
         assert docs.collect() == []
         docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert re.match("doc_id", P.STAGES[-1][1](spark, docs, scratch).columns[0])
+
+
+def test_dedup_judges_rows_not_ids(spark, scratch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, b), (7, a), (7, b + " more"),            # a stands nowhere else; 7's other text copies 3
+            (5, c), (5, c + " more"), (9, c),            # two near copies under the lowest id
+            (1, None), (1, None), (1, ""), (2, None)]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]).repartition(3)
+    out = dict(P.STAGES)["near_dedup"](spark, docs, scratch)
+    assert out.columns == list(P.COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert sum(i == 5 for i, _ in got) == 1
+    assert [x for x in got if x[0] != 5] == sorted([(3, b), (7, a), (1, None), (1, ""), (2, None)], key=str)
