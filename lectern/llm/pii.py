@@ -13,8 +13,9 @@ for every character it emits, the source range that the character stands for:
 The same detectors then run over the rewritten text, and their spans map back
 to source characters. A text without any sign of a disguise skips this.
 
-Spans are half-open ranges of code points. A rewritten find that overlaps a
-plain one of its kind is the same identifier and is not added. Null and empty
+Spans are half-open ranges of code points. A rewritten find that lies within a
+plain one of its kind is the same identifier and is not added; one that reaches
+further (the plain one is a fragment of it) is, beside the plain one. Null and empty
 texts have none; texts are processed whole; repeated rows repeat.
 """
 
@@ -118,7 +119,9 @@ _BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](
 _BARE_IP = re.compile(rf"(?i)(?<!\w)[0-9]+(?:(?:\s+{_DOT}\s+|\.)[0-9]+){{3}}(?!\w)")
 _BARE_AT = re.compile(rf"(?i)\s+{_AT}\s+|\s*@\s*")
 _BARE_DOT = re.compile(rf"(?i)\s+{_DOT}\s+")
-_SIGNS = ("dot", "punkt", "point", "punto", "at)", "at]", "at}", "at>", "at )", "at ]", "arroba")
+#: Without one of these neither kind of disguise is there: bare ones have a dot.
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
+_BRACKET = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT})\s*[\])}}>]")
 
 
 class Mapped:
@@ -197,7 +200,7 @@ def normalise(text: str) -> Mapped | None:
     if not text.isascii() and _ODD.search(text):
         steps.append(_homoglyphs)
     low = text.lower()
-    if steps or any(s in low for s in _SIGNS):
+    if steps or any(s in low for s in _DOT_WORDS) or _BRACKET.search(text):
         steps += [_bracketed, _bare]
     if steps or len(_DIGIT_WORDS.keys() & low.replace("-", " ").replace(",", " ").split()) > 0:
         steps.append(_spelled)
@@ -219,7 +222,7 @@ def find(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, i
         every = []
         for plain, spans in zip(base, detect(m.text)):
             found = [(m.lo[a], m.hi[b - 1]) for a, b in spans]
-            every.append(sorted({*plain, *(f for f in found if not _overlaps(f, plain))}))
+            every.append(sorted({*plain, *(f for f in found if not _within(f, plain))}))
     return base, every
 
 
@@ -230,6 +233,14 @@ def _overlaps(span: tuple[int, int], spans: list[tuple[int, int]]) -> bool:
     return bool((i and spans[i - 1][1] > span[0]) or (i < len(spans) and spans[i][0] < span[1]))
 
 
+def _within(span: tuple[int, int], spans: list[tuple[int, int]]) -> bool:
+    """Whether one of the spans (in order, apart from each other) holds it."""
+    from bisect import bisect_right
+
+    i = bisect_right(spans, (span[0], 1 << 62))
+    return bool(i and spans[i - 1][1] >= span[1])
+
+
 def _listed(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, found in zip(KINDS, spans) for a, b in found)
 

@@ -94,3 +94,29 @@ def test_registered_query_against_the_patterns(spark):
     for r in rows:
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in plain(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text, kind, plain_part, whole", [
+    ("to jоhn@example.com", "email", "hn@example.com", "jоhn@example.com"),
+    ("to jo\u200bhn@example.com", "email", "hn@example.com", "jo\u200bhn@example.com"),
+    ("to john(dot)doe@example.com", "email", "doe@example.com", "john(dot)doe@example.com"),
+    ("to a@mail.example (dot) com", "email", "a@mail.example", "a@mail.example (dot) com"),
+    ("call +1 212 555 01\uff100", "phone", "+1 212 555 01", "+1 212 555 01\uff100"),
+])
+def test_partly_disguised_ones_are_whole(text, kind, plain_part, whole):
+    base, every = pii.find(text)
+    k = pii.KINDS.index(kind)
+    assert [text[a:b] for a, b in base[k]] == [plain_part]
+    assert {text[a:b] for a, b in every[k]} == {plain_part, whole}
+
+
+@pytest.mark.parametrize("at", ["{ at }", "< at >", "(  at )", "[at ]", "{at}", "( Arroba )"])
+def test_every_bracketed_at_is_a_sign(at):
+    text = f"john {at} example.com"
+    assert [text[a:b] for a, b in pii.find(text)[1][0]] == [text]
+
+
+def test_a_find_within_a_plain_one_is_not_added():
+    text = "x@y.example.com, call me (dot) soon\u200b"
+    assert pii.normalise(text) is not None
+    assert pii.find(text)[0] == pii.find(text)[1]
