@@ -11,8 +11,9 @@ Defined results: a vector that is null or holds null or non-finite components
 takes no part, as a query or as a candidate, and neither does a row without
 an id. A query's candidates are the rows of its own dimension with another
 id. Ties go to the smaller id. Repeated rows are candidates each; a query row
-repeated with the same vector is answered once. Components beyond 2^20 in
-size after scaling are clipped there, which keeps scores within 64 bits.
+repeated with the same vector is answered once. Scores are exact whole
+numbers; a scaled component, or the score of a query and a candidate, that is
+no 64-bit integer is an error.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ BLOCK_BYTES = 32 << 20
 TILE = 2048
 #: Groups of shards merged at the first level of the tree.
 FAN_IN = 64
-_LIMIT = 1 << 20
 _NONE = np.iinfo(np.int64).min
 
 
@@ -43,7 +43,10 @@ def _scaled(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """The rows' positions and their integer matrix, by dimension."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    flat = np.clip(np.floor(flat * 256.0), -_LIMIT, _LIMIT)
+    with np.errstate(over="ignore"):
+        flat = np.floor(flat * 256.0)
+    if (np.abs(flat) >= 2.0 ** 63).any():
+        raise OverflowError("a component times 256 does not fit a 64-bit integer")
     starts = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for dim in np.unique(sizes):
@@ -52,13 +55,26 @@ def _scaled(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+def _product(q: np.ndarray, v: np.ndarray, unasked: np.ndarray | None = None) -> np.ndarray:
     """Exact integer products: in floats where every partial sum is a whole
-    number below 2^53, else in 64-bit integers."""
+    number below 2^53, else in 64-bit integers. Those are right but for a
+    multiple of 2^64; where the score is not safely small, Python's integers
+    tell. The pairs of ``unasked`` may have any score."""
     top = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1])
     if top < 2 ** 53:
         return (q @ v.T).astype(np.int64)
-    return q.astype(np.int64) @ v.T.astype(np.int64)
+    score = q.astype(np.int64) @ v.astype(np.int64).T
+    if top >= 2 ** 62:
+        error = np.abs(q) @ np.abs(v).T * (q.shape[1] + 4) * 2.0 ** -52
+        unsure = np.abs(q @ v.T) + error >= 2 ** 62
+        if unasked is not None:
+            unsure &= ~unasked
+        for i, j in zip(*np.nonzero(unsure)):
+            exact = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), v[j].tolist()))
+            if abs(exact) >= 2 ** 63 - 1:          # the lowest numbers mark what is no candidate
+                raise OverflowError("a score does not fit a 64-bit integer")
+            score[i, j] = exact
+    return score
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +114,9 @@ def _shard_lists(block: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int)
                     tile, own = matrix[lo:lo + TILE], ids[at[lo:lo + TILE]]
                     _, q_ids, q = block[i]
                     for a in range(0, len(q), TILE):
-                        s = _product(q[a:a + TILE], tile)
-                        s[q_ids[a:a + TILE, None] == own[None, :]] = _NONE
+                        same = q_ids[a:a + TILE, None] == own[None, :]
+                        s = _product(q[a:a + TILE], tile, same)
+                        s[same] = _NONE
                         ts, ti = _best(s, own, min(k, s.shape[1]))
                         rs, ri = (x[a:a + TILE] for x in best[i])
                         ms, mi = _best(np.hstack([rs, ts]), np.hstack([ri, ti]), k)

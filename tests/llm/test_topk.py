@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from rows import CLASHING
 
 from lectern.llm import topk
@@ -57,3 +58,29 @@ def test_best_cuts_ties_by_id():
     ids = np.arange(100)[::-1].copy()
     s, i = topk._best(score, ids, 3)
     assert i.tolist() == [[0, 1, 2]] * 2 and (s == 0).all()
+
+
+@pytest.mark.parametrize("size", [5000.0, 1e6])
+def test_components_of_any_size_stay_apart(spark, size):
+    rows = [(i, [size * (1 + i % 7), -size + i, 0.25 * i]) for i in range(30)]
+    assert run(spark, rows) == brute(rows, lambda i: i % 5 == 0, 5)
+
+
+def test_products_beyond_64_bits_are_exact_or_an_error():
+    q = np.array([[2.0 ** 40, 2.0 ** 40, 3.0], [2.0 ** 31, 2.0 ** 30, 1.0], [0.0, 1.0, 2.0 ** 62]])
+    v = np.array([[2.0 ** 40, -2.0 ** 40, 5.0], [2.0 ** 31 - 1, 1.0, 7.0], [7.0, -5.0, 1.0]])
+    want = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in v] for x in q]
+    big = np.array([[abs(s) >= 2 ** 63 - 1 for s in line] for line in want])
+    assert big.any() and not big.all() and want[0][0] == 15
+    with pytest.raises(OverflowError):
+        topk._product(q, v)
+    got = topk._product(q, v, big)
+    assert [int(s) for s in got[~big]] == [s for line, b in zip(want, big) for s, x in zip(line, b) if not x]
+
+
+def test_a_component_beyond_64_bits_is_an_error():
+    import pyarrow as pa
+
+    for x in (2.0 ** 55, -1e300, 1.7e308):
+        with pytest.raises(OverflowError):
+            topk._scaled(pa.array([[x, 0.0]], pa.list_(pa.float64())))
