@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, htmltext, licenses, neardup, pii, secrets, topk, toxicity, warc
+from . import bpe, decontaminate, filter_audit, htmltext, licenses, neardup, pii, secrets, topk, toxicity, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -244,3 +244,38 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op10(spark, d):
     e = read(spark, d, "embeddings")
     return topk.exact_topk(e, e["vec_id"] % 50 == 0, 5, "vec_id", "embedding")
+
+
+# --- 11: filter interaction audit ---------------------------------------------
+
+@register("op11_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+             CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN coalesce(d.doc_id > first, false) THEN 'E' ELSE '' END AS fails
+      FROM d JOIN f USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, good, bad, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS s),
+o AS (SELECT a.s || b.s || c.s || d.s || e.s AS o FROM s a, s b, s c, s d, s e
+      WHERE length(replace(replace(replace(replace(replace(a.s || b.s || c.s || d.s || e.s, 'A', ''), 'B', ''), 'C', ''), 'D', ''), 'E', '')) = 0
+        AND len(list_distinct([a.s, b.s, c.s, d.s, e.s])) = 5),
+p AS (SELECT part, o AS filter_order, i AS step, n, good, bad, contains(fails, o[i]) AS hit, fails = o[i] AS alone, o[i] AS letter,
+             len(list_filter(range(1, i), lambda j: contains(fails, o[j]))) = 0 AS there
+      FROM c, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS i)),
+r AS (SELECT part, filter_order, step, any_value(letter) AS letter,
+             CAST(coalesce(sum(n) FILTER (there AND NOT hit), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (there AND hit), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (NOT there AND hit), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(n) FILTER (there AND hit AND good), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(n) FILTER (there AND hit AND bad), 0) AS BIGINT) AS toxic_lost
+      FROM p GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r""")
+def op11(spark, d):
+    return filter_audit.filter_audit(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", "text", "lang")
