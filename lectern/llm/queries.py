@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, decontaminate, filter_audit, htmltext, licenses, neardup, pii, secrets, topk, toxicity, warc
+from . import bpe, decontaminate, filter_audit, htmltext, licenses, neardup, pii, secrets, spelling, topk, toxicity, urlfilter, warc
 from .common import read
 
 QUERIES: dict = {}
@@ -279,3 +279,96 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r""")
 def op11(spark, d):
     return filter_audit.filter_audit(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", "text", "lang")
+
+
+# --- 13: spelling variant grouping --------------------------------------------
+
+@register("op13_spelling_variants", f"""
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END, CAST(i AS BIGINT))) AS crc),
+r AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+      WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(0, octet_length(encode(named))), lambda j:
+          CAST(instr('0123456789ABCDEF', substr(hex(encode(named)), 2 * j + 1, 1)) * 16
+               + instr('0123456789ABCDEF', substr(hex(encode(named)), 2 * j + 2, 1)) - 17 AS BIGINT)),
+          lambda c, b: xor(crc[1 + (xor(c, b) & 255)], c >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS h
+      FROM r, k),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
+      FROM (SELECT n, CASE WHEN h % {spelling.SPOILED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                           ELSE run END AS word FROM h)
+      WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+e AS (SELECT word, n, substr(word, 1, i) || '?' || substr(word, i + 2) AS swapped, substr(word, 1, i) || substr(word, i + 2) AS cut
+      FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+x AS (SELECT DISTINCT e.word AS a, e.n AS an, v.word AS b, v.n AS bn FROM e JOIN v ON e.cut = v.word),
+m AS (SELECT a.word, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.swapped = b.swapped AND a.word <> b.word
+      UNION ALL SELECT a, b, bn FROM x UNION ALL SELECT b, a, an FROM x),
+b AS (SELECT word, near AS form, near_n AS form_n, count(*) OVER (PARTITION BY word) AS n_near,
+             row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM m),
+f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form,
+             CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word AND place = 1),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN c USING (word) JOIN f g ON g.word = c.at WHERE g.form IS NULL""")
+def op13(spark, d):
+    found = spelling.spelling_groups(read(spark, d, "documents"), "doc_id", "text")
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# --- 12: URL filters ----------------------------------------------------------
+
+def _rule_fits(part: str) -> str:
+    """The longest rule's text or verdict, as a CASE over the rules."""
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if part == 'rule' else v}'"
+        for h, p, v in sorted(urlfilter.RULES, key=lambda r: -len(r[0] + r[1])))
+    return f"CASE {cases} END"
+
+
+def _sql_grams(text: str, seed: int) -> str:
+    h = str(seed)
+    for j in range(urlfilter.GRAM):
+        h = f"({h} * 131 + unicode({text}[i + {j}]))"
+    return f"list_transform(range(1, length({text}) - {urlfilter.GRAM - 2}), lambda i: CAST({h} % {urlfilter.BUCKETS} AS INTEGER))"
+
+
+def _sql_sum(values: str) -> str:
+    return f"list_reduce({values}, lambda s, x: s + x, CAST(0 AS DOUBLE))"
+
+
+_SQL_MARGIN = f"b + {_sql_sum('list_transform({0}.found, lambda k: w[k + 1])')} / {{0}}.size"
+
+
+@register("op12_url_filters", f"""
+WITH RECURSIVE u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r AS (SELECT page_id, host, path, {_rule_fits('rule')} AS rule, {_rule_fits('verdict')} AS by_rule FROM u),
+g AS (SELECT *, sqrt(CAST(greatest(len(found), 1) AS DOUBLE)) AS size
+      FROM (SELECT host, path, list_sort(list_distinct({_sql_grams('h', urlfilter.SEEDS[0])} || {_sql_grams('p', urlfilter.SEEDS[1])})) AS found
+            FROM (SELECT host, path, '^' || host || '$' AS h, path || '$' AS p FROM (SELECT DISTINCT host, path FROM r)))),
+l AS (SELECT row_number() OVER (ORDER BY host, path) AS i, CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, found, size
+      FROM (SELECT *, row_number() OVER (PARTITION BY by_rule ORDER BY md5(host || path), host, path) AS place
+            FROM (SELECT DISTINCT host, path, by_rule FROM r WHERE by_rule IS NOT NULL)) JOIN g USING (host, path)
+      WHERE place <= {urlfilter.LABELLED}),
+e AS (SELECT list(coalesce(held, []) ORDER BY bucket) AS held
+      FROM (SELECT unnest(range({urlfilter.BUCKETS})) AS bucket)
+           LEFT JOIN (SELECT bucket, list(i ORDER BY i) AS held FROM (SELECT i, unnest(found) AS bucket FROM l) GROUP BY bucket) USING (bucket)),
+t AS (SELECT rows, held, CAST(greatest(len(rows), 1) AS DOUBLE) AS n
+      FROM (SELECT coalesce(list({{'y': y, 'found': found, 'size': size}} ORDER BY i), []) AS rows FROM l), e),
+m AS (SELECT 0 AS step, list_transform(range({urlfilter.BUCKETS}), lambda k: CAST(0 AS DOUBLE)) AS w, CAST(0 AS DOUBLE) AS b
+      UNION ALL
+      SELECT step + 1,
+             list_transform(range({urlfilter.BUCKETS}), lambda k: w[k + 1] - {urlfilter.RATE}::DOUBLE * (
+                 {_sql_sum('list_transform(held[k + 1], lambda i: errors[i] / rows[i].size)')} / n + {urlfilter.SHRINK}::DOUBLE * w[k + 1])),
+             b - {urlfilter.RATE}::DOUBLE * {_sql_sum('errors')} / n
+      FROM (SELECT *, list_transform(rows, lambda r: 1.0::DOUBLE / (1.0::DOUBLE + exp(-({_SQL_MARGIN.format('r')}))) - r.y) AS errors FROM m, t)
+      WHERE step < {urlfilter.STEPS}),
+s AS (SELECT host, path, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({_SQL_MARGIN.format('g')}))) AS score FROM g, (SELECT w, b FROM m WHERE step = {urlfilter.STEPS}))
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score > {urlfilter.BLOCK_OVER}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       round(score, 6) AS score
+FROM r JOIN s USING (host, path)""")
+def op12(spark, d):
+    found = urlfilter.filter_urls(read(spark, d, "pages"), "url", ["page_id"])
+    return found.select("keep.page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
