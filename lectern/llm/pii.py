@@ -13,10 +13,12 @@ for every character it emits, the source range that the character stands for:
 The same detectors then run over the rewritten text, and their spans map back
 to source characters. A text without any sign of a disguise skips this.
 
-Spans are half-open ranges of code points. A rewritten find that lies within a
+Every step takes time in proportion to the text. Spans are half-open ranges of
+code points. A rewritten find that lies within a
 plain one of its kind is the same identifier and is not added; one that reaches
 further (the plain one is a fragment of it) is, beside the plain one. Null and empty
-texts have none; texts are processed whole; repeated rows repeat.
+texts have none; texts are processed whole; repeated rows repeat; an empty
+table gives no rows; columns other than the two named are never read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .common import texts
 KINDS = ("email", "ip", "card", "phone")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -44,7 +46,8 @@ def _luhn(digits: str) -> bool:
 
 
 def _is_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    parts = [p.lstrip("0") or "0" for p in s.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def _is_card(s: str) -> bool:
@@ -112,13 +115,13 @@ _MANY = 3
 
 _AT = r"(?:at|arroba)"
 _DOT = r"(?:dot|punkt|point|punto)"
-_BRACKETED = re.compile(rf"(?i)\s*[\[({{<]\s*(?:({_AT})|{_DOT})\s*[\])}}>]\s*")
-_BARE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?:\s+{_DOT}\s+[A-Za-z0-9_%+-]+)*"
-                   rf"(?:\s+{_AT}\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*"
-                   rf"\s+{_DOT}\s+[A-Za-z]{{2,}}(?!\w)")
-_BARE_IP = re.compile(rf"(?i)(?<!\w)[0-9]+(?:(?:\s+{_DOT}\s+|\.)[0-9]+){{3}}(?!\w)")
-_BARE_AT = re.compile(rf"(?i)\s+{_AT}\s+|\s*@\s*")
-_BARE_DOT = re.compile(rf"(?i)\s+{_DOT}\s+")
+_BRACKETED = re.compile(rf"(?i)[\[({{<]\s*(?:({_AT})|{_DOT})\s*[\])}}>]")
+#: Bare disguises are found from their ``at``; what stands around it is read
+#: outwards from there.
+_BARE_AT = re.compile(rf"(?i)@|(?<=\s){_AT}(?=\s)")
+_BARE_DOT = re.compile(rf"(?i)(?<=\s){_DOT}(?=\s)")
+_BARE_DOMAIN = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*\s+{_DOT}\s+[A-Za-z]{{2,}}(?!\w)")
+_BARE_IP = re.compile(rf"(?i)(?<!\w)[0-9]++(?:(?:\s+{_DOT}\s+|\.)[0-9]++){{3}}(?!\w)")
 #: Without one of these neither kind of disguise is there: bare ones have a dot.
 _DOT_WORDS = ("dot", "punkt", "point", "punto")
 _BRACKET = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT})\s*[\])}}>]")
@@ -159,21 +162,84 @@ def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _plain(m[0])) for m in _ODD.finditer(text)]
 
 
+def _gap_left(text: str, at: int, end: int) -> int:
+    """Where the white space before ``at`` starts, not before ``end``."""
+    while at > end and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _gap_right(text: str, at: int, end: int) -> int:
+    while at < end and text[at].isspace():
+        at += 1
+    return at
+
+
 def _bracketed(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
+    edits, end = [], 0
+    for m in _BRACKETED.finditer(text):
+        lo, end = _gap_left(text, m.start(), end), _gap_right(text, m.end(), len(text))
+        edits.append((lo, end, "@" if m[1] else "."))
+    return edits
+
+
+def _dots(text: str, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """An edit for each bare ``dot`` with white space on both sides."""
+    edits, end = [], lo
+    for m in _BARE_DOT.finditer(text, lo, hi):
+        a, b = _gap_left(text, m.start(), end), _gap_right(text, m.end(), hi)
+        if a < m.start() and b > m.end():
+            edits.append((a, b, "."))
+            end = b
+    return edits
+
+
+def _run_left(text: str, at: int, end: int) -> int:
+    """Where the run of local characters before ``at`` starts; ``at`` where it
+    is none, or goes on before ``end``."""
+    lo = at
+    while lo > end and text[lo - 1] in _LOCAL:
+        lo -= 1
+    return at if lo == end and lo > 0 and text[lo - 1] in _LOCAL else lo
+
+
+def _local_left(text: str, at: int, end: int) -> int:
+    """Where a bare local part (runs with ``dot`` between them) before ``at``
+    starts; ``at`` where there is none."""
+    lo = _run_left(text, at, end)
+    if lo == at or text[at - 1] == ".":
+        return at
+    first = lo
+    while "." not in text[lo:at]:
+        # One step further: white space, a dot's word, white space, a run.
+        at = _gap_left(text, lo, end)
+        word = _run_left(text, at, end)
+        if at == lo or word == at or text[word:at].lower() not in _DOT_WORDS:
+            break
+        at = _gap_left(text, word, end)
+        lo = _run_left(text, at, end)
+        if at == word or lo == at or text[at - 1] == ".":
+            break
+        first = lo
+    return first
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _BARE.finditer(text):
-        at = _BARE_AT.search(text, m.start(), m.end())
-        dots = [(d.start(), d.end(), ".") for part in ((m.start(), at.start()), (at.end(), m.end()))
-                for d in _BARE_DOT.finditer(text, *part)]
-        edits += sorted([(at.start(), at.end(), "@"), *dots])
-    taken = [m.span() for m in _BARE.finditer(text)]
+    edits, taken, end = [], [], 0
+    for m in _BARE_AT.finditer(text):
+        if m.start() < end:
+            continue
+        lo = _gap_left(text, m.start(), end)
+        hi = _gap_right(text, m.end(), len(text))
+        first = _local_left(text, lo, end)
+        domain = _BARE_DOMAIN.match(text, hi) if first < lo else None
+        if domain:
+            end = domain.end()
+            edits += [*_dots(text, first, lo), (lo, hi, "@"), *_dots(text, hi, end)]
+            taken.append((first, end))
     for m in _BARE_IP.finditer(text):
         if not _overlaps(m.span(), taken):
-            edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, *m.span())]
+            edits += _dots(text, *m.span())
     return sorted(edits)
 
 
