@@ -4,18 +4,25 @@ A tree builder closes what a start tag implies closed (paragraphs before
 blocks, list items, table rows and cells, definition terms, options, the head
 before anything that is not head content); elements left open end with their
 parent. All visible text is emitted: not what script, style, template or head
-elements hold, nor elements that are ``hidden`` or styled ``display:none`` /
-``visibility:hidden``. Of drawings the ``text`` elements are seen, of formulas
+elements hold, nor elements that are ``hidden`` or styled ``display:none``; what is
+styled ``visibility:hidden`` goes but for parts styled visible again. Of drawings the ``text`` elements are seen, of formulas
 all but annotations. Blocks and options stand on lines of their own, paragraphs
 and headings with an empty line between, list items with their mark and depth,
-preformatted text as it is, and a table's cells in aligned columns. The tree is walked with an explicit stack, so depth is no limit.
+preformatted text as it is, and a table's cells in aligned columns, also where
+they cover several. The tree is built with the places of open elements at hand
+and walked with an explicit stack, so depth is no limit and costs nothing.
 
-Null and empty pages give an empty text; repeated rows repeat.
+Defined results: null and empty pages give an empty text; repeated rows repeat;
+an empty table gives no rows; columns other than the two named are never read.
+Marked sections (``<![``) are comments; a character reference beyond all
+characters is U+FFFD, however many digits it has. Pages are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -41,28 +48,45 @@ APART = frozenset("mfrac msup msub msubsup munder mover munderover mmultiscripts
 FOREIGN_UNSEEN = {"svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split()),
                   "math": frozenset("annotation annotation-xml".split())}
 INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
-_STYLED_AWAY = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+_STYLED_AWAY = re.compile(r"(?i)display\s*:\s*none")
+_VISIBILITY = re.compile(r"(?i)visibility\s*:\s*([a-z]+)")
+#: Columns and rows that a cell covers, at most: a page's table stays in
+#: proportion to the page.
+MOST_COLUMNS, MOST_ROWS = 100, 100
+#: Depth from which on nested lists are not set in further.
+DEEPEST = 40
 _FIRST_NEWLINE = re.compile(r"\A(?:\r\n?|\n)")
 _NEWLINE = re.compile(r"\r\n?")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
+_DIGITS = re.compile(r"\s*\+?([0-9]{1,9})")
+_LONG_REFERENCE = re.compile(r"&#([0-9]{9,})")
 
 
 class _Tree(HTMLParser):
-    """``root`` is ``[tag, attributes, children]``; a child is a node or text."""
+    """``root`` is ``[tag, attributes, children]``; a child is a node or text.
+    ``at`` has the places in ``open`` of each tag's open elements, so that
+    looking for one does not walk the stack."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = ["", {}, []]
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}
+
+    def _last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        for node in reversed(self.open[place:]):
+            self.at[node[0]].pop()
+        del self.open[place:]
 
     def _close(self, tags, stop) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in stop:
-                return
-            if self.open[i][0] in tags:
-                del self.open[i:]
-                self._close(tags, stop)
-                return
+        """Close open ``tags`` up to the innermost open of ``stop``."""
+        bound = self._last(stop)
+        while (place := self._last(tags)) > bound:
+            self._cut(place)
 
     def handle_starttag(self, tag, attrs):
         if tag == "body" or (self.open[-1][0] == "head" and tag not in HEAD):
@@ -75,16 +99,12 @@ class _Tree(HTMLParser):
         node = [tag, dict(attrs), []]
         self.open[-1][2].append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_endtag(self, tag):
-        self._close_last(tag)
-
-    def _close_last(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if self.at.get(tag):
+            self._cut(self.at[tag][-1])
 
     def handle_data(self, data):
         if self.open[-1][0] == "head" and data.strip(" \t\r\n\f"):
@@ -93,10 +113,57 @@ class _Tree(HTMLParser):
             data = _FIRST_NEWLINE.sub("", data)
         self.open[-1][2].append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` is a comment up to the next ``>``, as in browsers."""
+        return self.parse_bogus_comment(i)
+
 
-def _aligned(rows: list[list[str]]) -> str:
-    width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return "\n".join(" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows if r)
+def _number(attrs: dict, name: str, default: int, most: int) -> int:
+    """A whole number of an attribute, from 1 to ``most``."""
+    m = _DIGITS.match(attrs.get(name) or "")
+    return min(int(m[1]), most) or default if m else default
+
+
+def _aligned(rows: list[list[tuple[str, int, int]]]) -> str:
+    """Rows of cells ``(text, columns, rows)`` in aligned columns. Only
+    columns where a cell starts are told apart."""
+    placed, covered = [], []                   # covered: (first column, last, rows) of cells from above
+    for row in rows:
+        at, line, high, above = 0, [], [], 0
+        for text, wide, tall in row:
+            while above < len(covered) and covered[above][0] <= at:
+                at = max(at, covered[above][1])
+                above += 1
+            line.append((at, text, wide))
+            if tall > 1:
+                high.append((at, at + wide, tall))
+            at += wide
+        covered = sorted((a, b, n - 1) for a, b, n in [*covered, *high] if n > 1)
+        placed.append(line)
+    starts = sorted({at for line in placed for at, _, _ in line})
+    index = {c: i for i, c in enumerate(starts)}
+    width = [0] * len(starts)
+    spans = []
+    for line in placed:
+        for at, text, wide in line:
+            i, j = index[at], bisect_left(starts, at + wide)
+            spans.append((i, j, text))
+            if j == i + 1:
+                width[i] = max(width[i], len(text))
+    for i, j, text in spans:
+        if j > i + 1:
+            width[j - 1] += max(0, len(text) - sum(width[i:j]) - 3 * (j - i - 1))
+    out, done = [], 0
+    for line in placed:
+        cells, next_ = [], 0
+        for i, j, text in spans[done:done + len(line)]:
+            cells += [" " * w for w in width[next_:i]]
+            cells.append(text.ljust(sum(width[i:j]) + 3 * (j - i - 1)))
+            next_ = j
+        done += len(line)
+        if line:
+            out.append(" | ".join(cells).rstrip())
+    return "\n".join(out)
 
 
 class _Out:
@@ -135,23 +202,38 @@ class _Out:
         return "".join(self.parts)
 
 
+def _short_reference(m: re.Match) -> str:
+    digits = m[1].lstrip("0") or "0"
+    return f"&#{digits if len(digits) < 8 else 1114112}"
+
+
 def render(html: str) -> str:
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    # References beyond all characters stay so, in few digits. After the last
+    # ``>`` no tag ends: that is text, which the parser would search for tags.
+    html = _LONG_REFERENCE.sub(_short_reference, html)
+    end = html.rfind(">") + 1
+    tree.feed(html[:end])
+    rest = tree.rawdata + html[end:]
+    tree.rawdata = ""
+    if rest:
+        tree.handle_data(unescape(rest))
     out, lists, tables, pre = [_Out()], [], [], 0
     foreign: list = [("", True, None)]         # drawings and formulas around, and whether their text is seen
+    seen: list = [(True, None)]                # visibility, and the element that set it
     todo: list = [(tree.root, True)]
     while todo:
         node, enter = todo.pop()
         if isinstance(node, str):
-            if foreign[-1][1]:
+            if foreign[-1][1] and seen[-1][0]:
                 out[-1].raw(node) if pre else out[-1].inline(node)
             continue
         tag, attrs, children = node
         if enter:
             if tag in UNSEEN or tag in FOREIGN_UNSEEN.get(foreign[-1][0], ()) or "hidden" in attrs or _STYLED_AWAY.search(attrs.get("style") or ""):
                 continue
+            if (m := _VISIBILITY.search(attrs.get("style") or "")) and m[1].lower() in ("hidden", "collapse", "visible"):
+                seen.append((m[1].lower() == "visible", node))
             if tag == "br":
                 out[-1].raw("\n") if pre else out[-1].line(1)
                 continue
@@ -165,11 +247,12 @@ def render(html: str) -> str:
             if tag in BLOCK:
                 out[-1].line(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol"):
-                lists.append([tag, 0])
+                lists.append([tag, _number(attrs, "start", 1, 1 << 30) - 1])
             elif tag == "li" and lists:
-                lists[-1][1] += 1
-                out[-1].put("  " * (len(lists) - 1) + (f"{lists[-1][1]}." if lists[-1][0] == "ol" else "-"))
-                out[-1].gap = True
+                lists[-1][1] = _number(attrs, "value", lists[-1][1] + 1, 1 << 30)
+                if seen[-1][0]:
+                    out[-1].put("  " * min(len(lists) - 1, DEEPEST) + (f"{lists[-1][1]}." if lists[-1][0] == "ol" else "-"))
+                    out[-1].gap = True
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
@@ -185,6 +268,8 @@ def render(html: str) -> str:
         if tag == "pre":
             pre -= 1
             out[-1].breaks = 0
+        if seen[-1][1] is node:
+            seen.pop()
         if foreign[-1][2] is node:
             foreign.pop()
             if tag in ("text", "foreignobject"):
@@ -197,7 +282,7 @@ def render(html: str) -> str:
             cell = _SPACE.sub(" ", out.pop().text())
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((cell, _number(attrs, "colspan", 1, MOST_COLUMNS), _number(attrs, "rowspan", 1, MOST_ROWS)))
         elif tag == "table":
             out[-1].line(2)
             out[-1].put(_aligned(tables.pop()))
