@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -55,6 +55,8 @@ SIEVE_BITS = 1 << 25
 TASK_WORDS = 20_000
 BLOCK = 1 << 16
 PART_WORDS = 500
+#: Letters beyond which words are compared without a table of distances.
+LONG = 64
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -187,6 +189,23 @@ def _asking(vocabulary: DataFrame, symbols: int) -> DataFrame:
     return vocabulary.select("word").repartition(tasks, "word").mapInArrow(run, "word string, key long")
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether one inserted, deleted or replaced letter makes the difference.
+    Spark's edit distance, also with a bound, takes the square of the length;
+    long words are compared around their first difference, which halving
+    steps find."""
+    x, y = F.length(a), F.length(b)
+    steps = F.transform(F.sequence(F.floor(F.log2(F.greatest(x, y))).cast("int"), F.lit(0)), lambda e: F.pow(F.lit(2.0), e).cast("int"))
+    same = F.aggregate(steps, F.lit(0), lambda p, n: p + F.when(
+        (p + n <= F.least(x, y)) & (F.substring(a, p + 1, n) == F.substring(b, p + 1, n)), n).otherwise(0))
+
+    def after(word, other):
+        return F.substring(word, same + F.when(F.length(word) < F.length(other), 1).otherwise(2), F.length(word))
+
+    apart = (a != b) & (F.abs(x - y) <= 1) & (after(a, b) == after(b, a))
+    return F.when(F.greatest(x, y) <= LONG, F.levenshtein(a, b, 1) == 1).otherwise(apart)
+
+
 def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """``word, near, near_n``: all pairs (both ways) of words that differ by
     one edit, from ``word, n, key``."""
@@ -198,7 +217,7 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
         "key", F.pmod(F.xxhash64("word"), parts).cast("int").alias("part"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     asking = _asking(vocabulary, symbols).join(large, "key", "left").select(
         "word", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    both = asking.join(dealt, ["key", "part"]).filter(F.levenshtein("word", "near", 1) == 1)
+    both = asking.join(dealt, ["key", "part"]).filter(one_edit(F.col("word"), F.col("near")))
     return both.select("word", "near", "near_n")
 
 

@@ -73,7 +73,7 @@ def texts(seed, n):
 
 @pytest.mark.parametrize("symbols", [S.SYMBOLS, 2])
 def test_groups_against_brute_force(spark, symbols):
-    body = texts(1, 60) + [None, "", "short abc x", "tied1tidal tided " * 3]
+    body = texts(1, 60) + [None, "", "short abc x", "tied1tidal tided " * 3, "zarbode " * 3 + "zarbodex " * 7 + "zarbodexx " * 16]
     ids = [None, None] + list(range(2, len(body)))
     rows = list(zip(ids, body))
     want = expected(rows)
@@ -120,14 +120,14 @@ def test_neighbourhood_is_the_full_one(spark):
 
 def test_very_long_words_in_bounded_blocks(spark):
     rng = random.Random(5)
-    word = "".join(rng.choice("abcdefgh") for _ in range(150_000))
-    other = word[:90_000] + word[90_001:]
+    word = "".join(rng.choice("abcdefgh") for _ in range(60_000))
+    other = word[:30_000] + word[30_001:]
     blocks = [len(k) for _, k in S.Reduced([word]).neighbours()]
-    assert sum(blocks) > 17 * 140_000 and max(blocks) <= (2 * S.SYMBOLS + 1) * S.BLOCK
-    docs = documents(spark, [f"{word} {other} {word}"] * 7)
-    got = run(docs)
-    want = expected([(i, f"{word} {other} {word}") for i in range(7)])
-    assert {k[:20]: v[2:] for k, v in got.items()} == {k[:20]: v[2:] for k, v in want.items()} and got == want
+    assert sum(blocks) > 14 * 60_000 and max(blocks) <= (2 * S.SYMBOLS + 1) * S.BLOCK
+    whole = [i for i in range(99) if all(zlib.crc32(f"{i}:{w}".encode()) % 97 for w in (word, other))][:7]
+    got = run(documents(spark, [f"{word} {other} {word}"] * 7, ids=whole))
+    kept = {(x[0] == word, x[1] == word, x[2:]) for x in got.values()}
+    assert set(got) == {word, other} and kept == {(False, True, (14, 1, None)), (True, True, (7, 1, 14))}
 
 
 def test_large_buckets_are_dealt_and_stay_whole(spark, monkeypatch):
@@ -141,3 +141,21 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = documents(spark, ["planets planet"] * 3, ids=[4, 4, 4])
     assert run(docs) == expected([(4, "planets planet")] * 3)
     assert run(docs.limit(0)) == {} and run(documents(spark, ["", None, "a b c"])) == {}
+
+
+def test_one_edit_of_short_and_long_words(spark):
+    rng = random.Random(9)
+    pairs = []
+    for n in (1, 2, 5, 63, 64, 65, 66, 129):
+        for _ in range(40):
+            w = [rng.choice("abé") for _ in range(n)]
+            v = list(w)
+            for _ in range(rng.choice([0, 1, 1, 1, 2])):
+                i = rng.randrange(len(v) + 1)
+                v[i:i + rng.choice([0, 1])] = rng.choice([[], [rng.choice("abé")]])
+            pairs.append(("".join(w), "".join(v)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", S.one_edit(S.F.col("a"), S.F.col("b")).alias("x")).collect()
+    assert len(got) == len(pairs) and 60 < sum(r.x for r in got) < 300
+    for r in got:
+        assert r.x == one_edit(r.a, r.b), (r.a, r.b)

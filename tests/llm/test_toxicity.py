@@ -1,3 +1,4 @@
+import pytest
 import zlib
 
 import numpy as np
@@ -65,3 +66,19 @@ def test_labels(spark):
     assert dict(zip(got, y)) == {t: v for (t, v), i in zip(want.items(), (0, 1)) if i not in held}
     assert T.sample(docs, labels.limit(0), "doc_id", "text", "toxic")[0] == []
     assert T.train([], np.zeros(0)).score(["anything"]).tolist() == [0.0]
+
+
+def test_the_sample_keeps_to_its_bytes_without_emptying_itself(spark, monkeypatch):
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 3000)
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:201]
+    texts = {i: f"text {i} bad" if k % 2 else f"text {i} good" for k, i in enumerate(learnt)}
+    first = spark.createDataFrame([(i,) for i in learnt], "id long").orderBy(F.xxhash64("id")).first().id
+    texts[first] = "long " * 700
+    docs = documents(spark, [*texts.values(), "zz other text"], ids=[*texts, learnt[1]])
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learnt)], "doc_id long, toxic int")
+    got, y = T.sample(docs, labels, "doc_id", "text", "toxic")
+    assert 150 <= len(got) <= 201 and sum(map(len, got)) <= 3000 and set(y) == {0.0, 1.0}
+    assert len(set(got)) == len(got) and "long " * 700 not in got
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 5)
+    with pytest.raises(ValueError):
+        T.sample(docs, labels, "doc_id", "text", "toxic")
