@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 from .decontaminate import _TO_SPACE
 
 #: Weight of a text without words as a clean one, against all others' sum: what
@@ -228,20 +228,30 @@ def _fit(docs: list[str], label: np.ndarray, seed: int) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
            rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts for training: the ids of lowest hash,
-    so the same at any partitioning. Only rows that are not held out."""
+    """At most ``rows`` labelled texts for training, in the order of their
+    ids' hashes, so the same at any partitioning. Only rows that are not held
+    out. A text that no longer fits into ``SAMPLE_BYTES`` is passed over;
+    raises where that leaves a class without any text."""
     lab = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")) \
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     lab = lab.groupBy("id").agg(F.max("y").alias("y"))
     picked = lab.orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
     if picked.empty:
         return [], np.zeros(0)
+    picked["turn"] = range(len(picked))
     own = docs.sparkSession.createDataFrame(picked)
-    bag = texts(docs, id_col, text_col).join(F.broadcast(own), "id")
-    need = bag.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if need > SAMPLE_BYTES:
-        return sample(docs, labels, id_col, text_col, label_col, rows * SAMPLE_BYTES // (2 * need))
-    got = bag.toPandas().sort_values(["id", "text"])
+    # An id that stands on many rows counts once, with its smallest text.
+    bag = stored(texts(docs, id_col, text_col).join(F.broadcast(own), "id")
+                 .groupBy("turn", "y").agg(F.min("text").alias("text")), "toxicity-sample")
+    size = bag.select("turn", "y", F.octet_length("text").alias("n")).toPandas().sort_values("turn")
+    kept, room = [], SAMPLE_BYTES
+    for turn, n in zip(size["turn"].tolist(), size["n"].tolist()):
+        if n <= room:
+            kept.append(turn)
+            room -= n
+    got = bag.filter(F.col("turn").isin(kept)).toPandas().sort_values("turn")
+    if size["y"].nunique() == 2 and got["y"].nunique() < 2:
+        raise ValueError(f"no labelled text of one class fits into {SAMPLE_BYTES} bytes")
     return got["text"].tolist(), got["y"].to_numpy(np.float64)
 
 
