@@ -34,12 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import release, texts
 
 #: Bytes below which a match is encoded in one go, and entries of each of a
 #: task's caches.
 LEAF_BYTES = 48
-CACHE = 300_000
+CACHE = 150_000
 #: Ids below which decoding joins in one go.
 LEAF_IDS = 1 << 14
 _NEVER = 1 << 62
@@ -254,6 +254,7 @@ def encode(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str, text_col
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["id", "n_tokens", "ids"])
+            release()
 
     rows = texts(df, id_col, text_col)
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")

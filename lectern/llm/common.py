@@ -22,6 +22,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Spark hands to Python in one Arrow batch, where an
+#: operator asks for small ones.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` in this session: a job that
+    sends whole texts to Python in several stages holds some batches at once,
+    in the JVM and in its workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that Arrow keeps for later back to the system, between
+    batches: a Python worker lives on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``(id, text)``: a null text counts as empty, and no other column
     (whatever its name) reaches the operator."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import release, stored, texts
 
 #: Words of a test phrase.
 WINDOW = 10
@@ -244,8 +244,9 @@ def _shards(batch: pa.RecordBatch, most: int):
 _FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
-def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
+def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int, keep_text: bool) -> DataFrame:
     p = Phrases(items, size)
+    names = [c for c in rows.columns if keep_text or c != "text"]
 
     def run(batches):
         for batch in batches:
@@ -253,21 +254,23 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFra
                 found = scan(part.column("text").cast(pa.binary()).to_pylist(), p)
                 spans = [[{"first": a, "last": b} for a, b in s] for _, s, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in part.schema.names if c != "text"),
+                    [*(part.column(c) for c in names),
                      pa.array([n for n, _, _ in found], pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
                      pa.array([i for _, _, i in found], pa.list_(pa.string()))],
-                    [c for c in part.schema.names if c != "text"] + ["n_words", "spans", "items"])
+                    [*names, "n_words", "spans", "items"])
+            release()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     return rows.mapInArrow(run, f"{kept}, {_FOUND}")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
-               size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """``id, n_words, spans, items`` for every row of ``docs``: ``spans`` are
     the merged word ranges (end exclusive) to remove, ``items`` the sorted
-    ids, as strings, of the items with an occurrence."""
+    ids, as strings, of the items with an occurrence. ``keep_text`` adds the
+    ``text`` (empty for null)."""
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].alias("text")) \
         .filter(F.col("item").isNotNull() & F.col("text").isNotNull())
     need = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -275,13 +278,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
     load = lambda rows: [(r["item"], r["text"].encode("utf-8")) for r in rows.collect()]
     rows = texts(docs, id_col, text_col)
     if blocks == 1:
-        return _pass(rows, load(items), size)
+        return _pass(rows, load(items), size, keep_text)
     # Several passes: number the rows once, then merge each row's finds.
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     block = F.pmod(F.xxhash64("item"), F.lit(2 * blocks))
     every = None
     for i in range(2 * blocks):
-        found = _pass(rows, load(items.filter(block == i)), size)
+        found = _pass(rows, load(items.filter(block == i)), size, False)
         every = found if every is None else every.unionByName(found)
     both = every.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"),
                                     F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -292,7 +295,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
             F.element_at(done, -1)["first"].alias("first"),
             F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))))
         .otherwise(F.concat(done, F.array(s))))
-    return both.select("id", "n_words", F.when(F.size("spans") > 0, joined).otherwise(F.col("spans")).alias("spans"), "items")
+    own = both.select("row", "id", "n_words", F.when(F.size("spans") > 0, joined).otherwise(F.col("spans")).alias("spans"), "items")
+    return (own.join(rows.select("row", "text"), "row") if keep_text else own).drop("row")
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:

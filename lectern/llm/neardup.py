@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, texts
+from .common import release, stored, texts
 
 #: Slots of a signature (a power of two), rows of a band, bands.
 SLOTS = 256
@@ -62,8 +62,10 @@ BLOCK_BYTES = 8 << 20
 #: Texts whose signatures are computed together, and signatures and words that
 #: a task remembers.
 TOGETHER = 512
-CACHE = 20_000
-CACHE_WORDS = 400_000
+CACHE = 10_000
+CACHE_WORDS = 150_000
+#: Bytes up to which a word is kept.
+CACHED_BYTES = 64
 
 _U = np.uint64
 _GOLDEN, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -157,6 +159,9 @@ class Shingler:
         for w in set(words).difference(known):
             known[w] = self.hash(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        for w in words:
+            if len(w) > CACHED_BYTES:
+                known.pop(w, None)
         n = min(self.size, len(h))
         if n == 0:
             return h
@@ -193,6 +198,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
                      pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], pa.list_(pa.int8()))],
                     ["id", "n", "node", "bands", "sketch"])
+            release()
 
     return docs.mapInArrow(run, _SIGNED.format(id=docs.schema["id"].dataType.simpleString()))
 
@@ -230,6 +236,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = [s.tobytes() for s in map(shingler.set, some) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                                                   pa.array(sets, pa.binary())], ["node", "set"])
+            release()
 
     found = docs.select(at.alias("at"), "text").mapInArrow(run, "node binary, set binary")
     return found.join(wanted.select("v", "node"), "node").groupBy("v").agg(F.first("set").alias("set")) \

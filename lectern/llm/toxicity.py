@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import release, stored, texts
 from .decontaminate import _TO_SPACE
 
 #: Weight of a text without words as a clean one, against all others' sum: what
@@ -48,8 +48,9 @@ LEAST_SHARE = 0.003
 TOXIC_WEIGHT = 3.0
 #: Words whose n-grams are made together.
 TOGETHER = 20_000
-#: Words whose sums a task keeps.
-CACHE = 400_000
+#: Words whose sums a task keeps, and bytes up to which a word is kept.
+CACHE = 150_000
+CACHED_BYTES = 64
 
 
 def words(text: str) -> list[bytes]:
@@ -115,13 +116,13 @@ class Model:
         if self.empty:
             return np.zeros(len(docs))
         found = [words(t) for t in docs]
-        if len(self.known) > CACHE:
+        if len(self.sum) > CACHE:
             self.known, self.sum, self.count = {}, np.zeros(0), np.zeros(0)
         new = list(set().union(*found).difference(self.known)) if found else []
         if new:
             bucket, count = grams(new)
             start = np.cumsum(count) - count
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.known.update(zip(new, range(len(self.sum), len(self.sum) + len(new))))
             self.sum = np.concatenate([self.sum, np.add.reduceat(self.part[bucket].astype(np.float64), start)])
             self.count = np.concatenate([self.count, count])
         logit = np.full(len(docs), self.bias)
@@ -131,6 +132,9 @@ class Model:
                 at, times = np.unique(at, return_counts=True)
                 times = np.log2(1.0 + times)
                 logit[i] += (times * self.sum[at]).sum() / (PADDING + (times * self.count[at]).sum())
+        for w in new:
+            if len(w) > CACHED_BYTES:
+                del self.known[w]
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -261,19 +265,21 @@ def held_out(id_):
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 4 == 2
 
 
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (with a ``text`` column) with a last column ``score``, the
-    text replaced by it; 1 is surely toxic."""
+def score(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """``rows`` (with a ``text`` column, null counts as empty) with a last
+    column ``score``; 1 is surely toxic. The text goes to Python once, and
+    comes back only if it is kept."""
     part, bias, empty = model.part, model.bias, model.empty
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if keep_text or c != "text"]
 
     def run(batches):
         own = Model(part, bias, empty)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                out = own.score(b.column("text").to_pylist())
+                out = own.score([t or "" for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out)], [*names, "score"])
+            release()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.select(*names, "text").mapInArrow(run, f"{kept}, score double")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    return rows.mapInArrow(run, f"{kept}, score double")
