@@ -7,8 +7,8 @@ the next stage's ``docs``. All but the last return the columns of
 
 * toxicity: documents that score ``TOXIC_FROM`` or more go;
 * near_dedup: one row of each group of near copies stays (the lowest id's
-  first row; five-word shingles, similarity 0.8); rows without words are copies
-  where they share id and text;
+  first row, one without an id only where none has one; five-word shingles,
+  similarity 0.8); rows without words are copies where they share id and text;
 * decontaminate: documents that hold a benchmark window go;
 * secrets: values that only one owner holds, or too few to be a copied
   example, are replaced by a mark in the text; ``n_chars`` follows;
@@ -16,8 +16,7 @@ the next stage's ``docs``. All but the last return the columns of
   n_tokens, ids`` (packed little-endian unsigned 32-bit) and the digest of the
   decoded bytes.
 
-Null texts count as empty and stay. A document without an id stays unless it is
-toxic or contaminated. Documents that share an id but not a text are told apart
+Null texts count as empty and stay. Documents that share an id but not a text are told apart
 by no stage but the dedup, which judges each row by its own text. Other columns
 than those of ``documents`` are not carried. An empty table passes through.
 """
@@ -29,36 +28,39 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, neardup, secrets, toxicity
 from lectern.llm import queries as Q
-from lectern.llm.common import read, stored
+from lectern.llm.common import read, small_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = Q.toxicity_model(docs, read(spark, sf_dir, "labels"))
-    rows = docs.select(*(F.col(c).alias(f"own_{c}") for c in COLUMNS), F.coalesce("text", F.lit("")).alias("text"))
-    scored = toxicity.score(rows, model).filter(F.col("score") < Q.TOXIC_FROM)
-    return scored.select(*(F.col(f"own_{c}").alias(c) for c in COLUMNS))
+    scored = toxicity.score(docs.select(*COLUMNS), model, keep_text=True)
+    return scored.filter(F.col("score") < Q.TOXIC_FROM).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Rows have numbers of their own: ids may repeat, with other texts.
+    small_batches(spark)
+    # Rows have numbers of their own: ids may repeat, with other texts, or lack.
     rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
     classes = stored(neardup.near_duplicates(rows, "row", "text").select(
         F.col("id").alias("row"), F.col("component_id").alias("copies"), "n_shingles"), "dedup-classes")
-    named = rows.filter("doc_id is not null")
-    worded = named.select("row", "doc_id").join(classes.filter("n_shingles > 0").select("row", "copies"), "row")
-    best = worded.groupBy("copies").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("row"))
-    wordless = named.join(classes.filter("n_shingles = 0").select("row"), "row", "left_semi")
+    worded = rows.select("row", "doc_id").join(classes.filter("n_shingles > 0").select("row", "copies"), "row")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    best = worded.groupBy("copies").agg(F.min(first).alias("best")).select(F.col("best.row").alias("row"))
+    wordless = rows.join(classes.filter("n_shingles = 0").select("row"), "row", "left_semi")
     single = wordless.groupBy("doc_id", "text").agg(F.min("row").alias("row")).select("row")
-    kept = named.join(stored(best.unionByName(single), "dedup-kept"), "row", "left_semi")
-    return kept.unionByName(rows.filter("doc_id is null")).select(*COLUMNS)
+    return rows.join(stored(best.unionByName(single), "dedup-kept"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*COLUMNS).alias("own"), "text")
-    found = Q.decontaminate.find_leaks(rows, read(spark, sf_dir, "benchmark"), "own", "text", "item_id", "text")
-    return found.filter(F.size("spans") == 0).select("id.*")
+    small_batches(spark)
+    own = F.struct(*(c for c in COLUMNS if c != "text"), F.col("text").isNull().alias("no_text"))
+    found = Q.decontaminate.find_leaks(docs.select(own.alias("own"), "text"), read(spark, sf_dir, "benchmark"),
+                                       "own", "text", "item_id", "text", keep_text=True)
+    text = F.when(~F.col("id.no_text"), F.col("text")).alias("text")
+    return found.filter(F.size("spans") == 0).select(*(text if c == "text" else F.col(f"id.{c}") for c in COLUMNS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,6 +76,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     ranks, pattern = Q.bpe_ranks()
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("own"), "text")
     both = bpe.decode(bpe.encode(keyed, ranks, pattern, "own", "text"), ranks)
