@@ -362,14 +362,22 @@ def prompt_render(spark, d):
 
 @register("eval_dataset", f"""
 WITH {_hits_sql(5)}
-SELECT e.vec_id AS question_id, qd.text AS question, CAST(NULL AS VARCHAR) AS answer,
+SELECT e.vec_id AS question_id, qd.text AS question, CASE WHEN e.vec_id % 3 <> 0 THEN substr(qd.text, 1, 80) END AS answer,
        coalesce((SELECT list(d.text ORDER BY h.rank) FROM hits h JOIN documents d ON d.doc_id = h.chunk_id
                  WHERE h.question_id = e.vec_id), []) AS contexts,
-       CAST(NULL AS VARCHAR) AS ground_truth
+       (SELECT qd.lang || ' ' || max(CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END) FROM labels l WHERE l.doc_id = e.vec_id) AS ground_truth
 FROM embeddings e JOIN documents qd ON qd.doc_id = e.vec_id""")
 def eval_dataset(spark, d):
+    """Answers of two thirds of the questions, and ground truths from
+    the labels, meet the questions and their contexts by key."""
     hits = _emb_hits(spark, d, 5).join(_docs_meta(spark, d), "chunk_id")
-    return EV.eval_dataset(_emb_questions(spark, d), hits)
+    qs = _emb_questions(spark, d)
+    answers = qs.filter("question_id % 3 <> 0").select("question_id", F.substring("question", 1, 80).alias("answer"))
+    lang = table(spark, d, "documents").select("doc_id", "lang")
+    mark = F.when(F.col("quality") == 1, "good").otherwise("poor")
+    truths = (table(spark, d, "labels").groupBy("doc_id").agg(F.max(mark).alias("mark")).join(lang, "doc_id")
+              .select(F.col("doc_id").alias("question_id"), F.concat_ws(" ", "lang", "mark").alias("ground_truth")))
+    return EV.eval_dataset(qs, hits, answers, truths)
 
 
 # --- quality metrics (A5-A10, W4, T15, T17) --------------------------------
@@ -714,12 +722,12 @@ def answer_prompts(spark, d):
 WITH a AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id,
                   CASE WHEN (conv_id + turn) % 5 = 0 THEN ' ' WHEN conv_id % 97 = 0 THEN text || ' secret' ELSE text END AS question
            FROM conversations WHERE role = 'user'),
-v AS (SELECT *, substr(md5(question_id), 1, 1) AS g FROM a WHERE trim(question) <> ''),
-b AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY question_id) - 1) // {schema.EMBED_BATCH_SIZE} AS slice FROM v),
-bad AS (SELECT g, slice, bool_or(regexp_matches(question, {O.q(REFUSED)})) AS refused FROM b GROUP BY ALL)
+b AS (SELECT *, (row_number() OVER (ORDER BY question_id, question) - 1) // {schema.EMBED_BATCH_SIZE} AS slice
+      FROM a WHERE trim(question) <> ''),
+bad AS (SELECT slice, bool_or(regexp_matches(question, {O.q(REFUSED)})) AS refused FROM b GROUP BY slice)
 SELECT question_id, CASE WHEN refused THEN 'failed' ELSE 'answered' END AS status,
        CASE WHEN refused THEN 'RuntimeError: batch refused by the embedding service' END AS error, CASE WHEN refused THEN 0 ELSE 3 END AS hits
-FROM b JOIN bad USING (g, slice)
+FROM b JOIN bad USING (slice)
 UNION ALL SELECT question_id, 'rejected', NULL, 0 FROM a WHERE trim(question) = ''""")
 def search_status(spark, d):
     """What became of every question: some are blank, some are refused by the
@@ -753,54 +761,74 @@ def chunk_documents(spark, d):
 
 # --- evaluation job (X4) ----------------------------------------------------
 
+from ..functions import standins as ST  # noqa: E402
 from ..functions.embedder import TOKEN_CLASS  # noqa: E402
 
 
-# Words shorter than this do not count for the stand-in judge (articles
-# and other short function words would make almost every context relevant).
-JUDGE_MIN_WORD = 4
+def _sql_words(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= {ST.LEAST_WORD})"
 
 
-def _words(c, least):
-    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN_CLASS), 0)
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= least))
+def _sql_claims(src: str, text: str) -> str:
+    """Numbered claims of a text column: (question_id, known, c, w, no)."""
+    return f"""SELECT question_id, known, c, w, row_number() OVER (PARTITION BY question_id ORDER BY i) AS no
+      FROM (SELECT question_id, known, c, i, {_sql_words('c')} AS w
+            FROM (SELECT question_id, known, unnest(pieces) AS c, unnest(range(1, len(pieces) + 1)) AS i
+                  FROM (SELECT question_id, known, string_split({text}, '.') AS pieces FROM {src} WHERE {text} IS NOT NULL)))
+      WHERE len(w) > 0"""
 
 
-def lexical_judge(ds, min_word: int = JUDGE_MIN_WORD):
-    """Stand-in judge derived from the data: a context is relevant to its
-    question when they share a word of ``min_word`` or more
-    characters (words as the stand-in embedder reads them). Returns the
-    ``relevant`` verdicts by rank."""
-    ctx = ds.select("question_id", _words(F.col("question"), min_word).alias("_qw"),
-                    F.posexplode("contexts").alias("_pos", "_ctx"))
-    return {"relevant": ctx.select(
-        "question_id", (F.col("_pos") + 1).alias("rank"),
-        F.arrays_overlap("_qw", _words(F.col("_ctx"), min_word)).cast("int").alias("relevant"))}
+_QUOTED_SQL = " || '. ' || ".join(f"substr(prompt, {a + 1}, {n})" for a, n in ST.QUOTED)
+_METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+_COSINE_SQL = f"{_dot('q.v', 'g.v')} / (sqrt({_dot('q.v', 'q.v')}) * sqrt({_dot('g.v', 'g.v')}))"
 
 
 @register("evaluate_job", f"""
 WITH {_search_sql(5)},
-j AS (SELECT h.question_id, h.rank,
-             CASE WHEN list_has_any(
-                    list_filter(regexp_extract_all(lower(q.question), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= {JUDGE_MIN_WORD}),
-                    list_filter(regexp_extract_all(lower(c.text), {O.q(TOKEN_CLASS)}), lambda w: length(w) >= {JUDGE_MIN_WORD}))
-                  THEN 1.0 ELSE 0.0 END AS rel
+tr AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) AS question_id, max(text) AS truth
+       FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+ctx AS (SELECT h.question_id, string_agg(c.text, chr(10) || chr(10) ORDER BY h.rank) AS context, list(c.text ORDER BY h.rank) AS contexts
+        FROM hits h JOIN ck c USING (chunk_id) GROUP BY h.question_id),
+p AS (SELECT q.question_id, q.question, {_prompt_sql("ctx.context", "q.question")} AS prompt, truth,
+             flatten(list_transform(coalesce(contexts, []), lambda t: {_sql_words('t')})) AS known
+      FROM qs q LEFT JOIN ctx USING (question_id) LEFT JOIN tr USING (question_id)),
+an AS (SELECT *, {_QUOTED_SQL} AS answer FROM p),
+cl AS ({_sql_claims('an', 'answer')}),
+tc AS ({_sql_claims('an', 'truth')}),
+fa AS (SELECT question_id, avg(CASE WHEN list_has_all(known, w) THEN 1.0 ELSE 0.0 END) AS faithfulness FROM cl GROUP BY question_id),
+re AS (SELECT question_id, avg(CASE WHEN list_has_all(known, w) THEN 1.0 ELSE 0.0 END) AS context_recall FROM tc GROUP BY question_id),
+j AS (SELECT h.question_id, h.rank, CASE WHEN list_has_any({_sql_words('q.question')}, {_sql_words('c.text')}) THEN 1.0 ELSE 0.0 END AS rel
       FROM hits h JOIN ck c USING (chunk_id) JOIN qs q USING (question_id)),
-p AS (SELECT *, sum(rel) OVER (PARTITION BY question_id ORDER BY rank
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rank AS prec FROM j),
-cp AS (SELECT question_id, sum(prec * rel) / greatest(sum(rel), 1.0) AS context_precision
-       FROM p GROUP BY question_id)
-SELECT q.question_id, round(cp.context_precision, 6) AS context_precision
-FROM qs q LEFT JOIN cp USING (question_id)""")
+pr AS (SELECT *, sum(rel) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / rank AS prec FROM j),
+cp AS (SELECT question_id, sum(prec * rel) / greatest(sum(rel), 1.0) AS context_precision FROM pr GROUP BY question_id),
+gq AS (SELECT question_id || ' ' || no AS gen, question_id, c AS text FROM cl WHERE no <= {ST.GENERATED}),
+{O.bow_vectors_sql('gq', 'gen', 'text', FLAGSHIP_DIM, 'gv')},
+ar AS (SELECT gq.question_id, avg(CASE WHEN {_dot('q.v', 'q.v')} > 0 AND {_dot('g.v', 'g.v')} > 0 THEN {_COSINE_SQL} END) AS answer_relevancy
+       FROM gq JOIN gv g USING (gen) JOIN qv q USING (question_id) GROUP BY gq.question_id),
+m AS (SELECT qs.question_id, faithfulness, answer_relevancy, context_precision, context_recall
+      FROM qs LEFT JOIN fa USING (question_id) LEFT JOIN ar USING (question_id) LEFT JOIN cp USING (question_id) LEFT JOIN re USING (question_id)),
+g AS ({" UNION ALL ".join(f"SELECT '{x}' AS name, avg({x}) AS mean, CAST({M.DEFAULT_GATES.get(x) or 'NULL'} AS DOUBLE) AS threshold FROM m" for x in _METRICS)}
+      UNION ALL SELECT unnest(['failed_questions', 'failed_answers', 'failed_verdicts', 'failed_vectors']), 0.0, 0.0)
+SELECT 'question' AS kind, question_id AS name, {", ".join(f"round({x}, 6) AS {x}" for x in _METRICS)},
+       CAST(NULL AS VARCHAR) AS mean, CAST(NULL AS DOUBLE) AS threshold, CAST(NULL AS BOOLEAN) AS passed FROM m
+UNION ALL SELECT 'gate', name, NULL, NULL, NULL, NULL, printf('%.2f', mean), threshold,
+       CASE WHEN starts_with(name, 'failed') THEN true WHEN threshold IS NOT NULL THEN coalesce(mean >= threshold, false) END FROM g""")
 def evaluate_job(spark, d):
     """X4 over the built index: every valid user turn is retrieved once
-    (k = 5), the evaluation dataset is built from those hits, the stand-in
-    judge rates each ranked context, and context precision (A9/W4) is
-    computed per question."""
+    (k = 5) and answered from those hits; the judge rates answers, ground
+    truths (the assistant's turn after the question) and ranked contexts in
+    batches; all four metrics of each question, and the gate's rows with
+    their means to two decimals (T15)."""
     from ..plans.evaluate import evaluate
     idx, emb = _built_index(spark, d)
-    _, per_q, _, _ = evaluate(_questions(spark, d), idx, emb, k=5, judge=lexical_judge)
-    return per_q.select("question_id", F.round("context_precision", 6).alias("context_precision"))
+    conv = table(spark, d, "conversations").filter(F.col("role") == "assistant")
+    truths = (conv.groupBy(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("question_id"))
+              .agg(F.max("text").alias("ground_truth")))
+    _, per_q, gate, _ = evaluate(_questions(spark, d), idx, emb, k=5, generate=ST.quote_prompts, ground_truths=truths,
+                                 judge_model=ST.LexicalJudge())
+    rows = per_q.select(F.lit("question").alias("kind"), F.col("question_id").alias("name"), *(F.round(x, 6).alias(x) for x in _METRICS))
+    report = M.gate_report(gate).select(F.lit("gate").alias("kind"), F.col("metric").alias("name"), "mean", "threshold", "passed")
+    return rows.unionByName(report, allowMissingColumns=True)
 
 
 # --- the whole build from landed pages (S1 S4 P1 P2 P3 X1), and rebuilds (X5 X6 P11 S7) ---
