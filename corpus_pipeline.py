@@ -79,8 +79,9 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     ranks, pattern = Q.bpe_ranks()
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("own"), "text")
-    both = bpe.decode(bpe.encode(keyed, ranks, pattern, "own", "text"), ranks)
-    return both.select("id.doc_id", "id.lang", "id.source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    # Stored between the two, so that a task holds one Python worker, not two.
+    ids = stored(bpe.encode(keyed, ranks, pattern, "own", "text"), "pipeline-ids")
+    return bpe.decode(ids, ranks).select("id.doc_id", "id.lang", "id.source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
