@@ -885,30 +885,43 @@ def build_from_pages(spark, d):
 
 
 @register("rebuild_status", f"""
-WITH {_DOC_CHUNKS_SQL}, n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM ck)
-SELECT 'not ready' AS step, false AS published, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS vectors
-UNION ALL SELECT 'empty input', false, 0, 0
-UNION ALL SELECT 'build', true, 1, n FROM n
-UNION ALL SELECT 'failed rebuild', false, 1, n FROM n
-UNION ALL SELECT 'rebuild', true, 2, n FROM n""")
+WITH {_DOC_CHUNKS_SQL}, n AS (SELECT (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM keep) AS kept, count(*) AS n FROM ck),
+s(step, published, version, builds) AS (VALUES ('not ready', false, 0, 0), ('empty input', false, 0, 0), ('build', true, 1, 1),
+  ('failed rebuild', false, 1, 2), ('rebuild', true, 2, 3), ('two at once', true, 4, 5), ('retired', true, 4, 1))
+SELECT step, published, CAST(version AS BIGINT) AS version, CAST(CASE WHEN version > 0 THEN n ELSE 0 END AS BIGINT) AS vectors,
+       CAST(builds AS BIGINT) AS builds, CAST(CASE WHEN version > 0 THEN records END AS BIGINT) AS records,
+       CAST(CASE WHEN version > 0 THEN kept END AS BIGINT) AS deduplicated, CAST(CASE WHEN version > 0 THEN n END AS BIGINT) AS chunks
+FROM s, n""")
 def rebuild_status(spark, d):
     """What readers see after each step: nothing published yet, an empty
-    input, a first build, a rebuild whose model refuses every batch, and a
-    rebuild that works."""
+    input, a first build, a rebuild whose model refuses every batch, a rebuild
+    that works, two at the same time, and the removal of all that is no longer
+    named; with the stage counts (A1) of the version that is served."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from ..plans.build import rebuild_index
     from ..session import scratch_path
     path, emb = scratch_path(spark, "rebuilds"), HashingEmbedder(16)
     records = documents_as_records(table(spark, d, "documents"))
 
     def seen(step, ok):
+        held = len(IX.builds(spark, path))
         try:
-            version = int(IX.current(spark, path)["version"])
-            return step, ok, version, IX.cardinality(IX.load(spark, path, emb.name, emb.dim))
+            now = IX.current(spark, path)
+            counts = now["counts"]
+            return (step, ok, int(now["version"]), IX.cardinality(IX.load(spark, path, emb.name, emb.dim)), held,
+                    counts["input"], counts["deduplicated"], counts["chunks"])
         except IX.IndexNotFound:
-            return step, ok, 0, 0
+            return step, ok, 0, 0, held, None, None, None
 
     rows = [seen("not ready", False)]
     for step, recs, model in (("empty input", records.limit(0), emb), ("build", records, emb),
                               ("failed rebuild", records, FailingEmbedder(emb, ".")), ("rebuild", records, emb)):
         rows.append(seen(step, rebuild_index(recs, path, model, source=DOCS_SOURCE).ok))
-    return spark.createDataFrame(rows, "step string, published boolean, version long, vectors long")
+    with ThreadPoolExecutor(2) as pool:
+        both = [pool.submit(rebuild_index, records, path, emb, source=DOCS_SOURCE) for _ in range(2)]
+        rows.append(seen("two at once", all([b.result().ok for b in both])))
+    IX.retire(spark, path, keep=1, min_age_s=0)
+    rows.append(seen("retired", True))
+    return spark.createDataFrame(rows, "step string, published boolean, version long, vectors long, builds long, "
+                                       "records long, deduplicated long, chunks long")
