@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import release, texts
+from .common import release, slices, texts
 
 #: Bytes below which a match is encoded in one go, and entries of each of a
 #: task's caches.
@@ -249,7 +249,7 @@ def encode(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str, text_col
     def run(batches):
         enc = Encoder(ranks_file, pattern)
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b):
                 ids = enc.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -267,7 +267,7 @@ def decode(encoded: DataFrame, ranks_file: bytes) -> DataFrame:
     def run(batches):
         enc = Encoder(ranks_file, "x")
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b, "ids"):
                 out = [enc.decode(x.as_py()) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())],
                                                  ["id", "n_tokens", "ids", "decoded"])
@@ -277,12 +277,6 @@ def decode(encoded: DataFrame, ranks_file: bytes) -> DataFrame:
         run, f"id {kind}, n_tokens long, ids binary, decoded binary")
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 256):
-    """Small steps, so that what a batch's results take stays small beside it."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 

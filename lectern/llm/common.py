@@ -37,6 +37,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Bytes of text that a task works on together, and rows at most.
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 512
+
+
+def slices(batch, column: str = "text"):
+    """Slices of an Arrow batch of at most ``SLICE_BYTES`` of text (a longer
+    text stands alone) and ``SLICE_ROWS`` rows: what is held beside a batch is
+    bounded by bytes, wherever long texts stand together."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        room = (size[lo - 1] if lo else 0) + SLICE_BYTES
+        hi = min(max(lo + 1, int(np.searchsorted(size, room, side="right"))), lo + SLICE_ROWS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def release() -> None:
     """Give memory that Arrow keeps for later back to the system, between
     batches: a Python worker lives on from stage to stage."""

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import release, stored, texts
+from .common import release, slices, stored, texts
 
 #: Slots of a signature (a power of two), rows of a band, bands.
 SLOTS = 256
@@ -59,9 +59,7 @@ PART_ROWS = 500
 #: Members up to which a class gives pairs, and bytes of sets in a block.
 FEW = 8
 BLOCK_BYTES = 8 << 20
-#: Texts whose signatures are computed together, and signatures and words that
-#: a task remembers.
-TOGETHER = 512
+#: Signatures and words that a task remembers.
 CACHE = 10_000
 CACHE_WORDS = 150_000
 #: Bytes up to which a word is kept.
@@ -183,8 +181,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
         shingler, done = Shingler(size), {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, TOGETHER):
-                b = batch.slice(lo, TOGETHER)
+            for b in slices(batch):
                 sets = [shingler.set(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 if len(done) > CACHE:
@@ -231,8 +228,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             h = batch.column("at").to_numpy(zero_copy_only=False)
             rows = np.flatnonzero((sieve[h >> 5] >> (h & 31).astype(np.uint32)) & 1)
-            for lo in range(0, len(rows), TOGETHER):
-                some = batch.column("text").cast(pa.binary()).take(pa.array(rows[lo:lo + TOGETHER])).to_pylist()
+            for b in slices(batch.select(["text"]).take(pa.array(rows))):
+                some = b.column("text").cast(pa.binary()).to_pylist()
                 sets = [s.tobytes() for s in map(shingler.set, some) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                                                   pa.array(sets, pa.binary())], ["node", "set"])

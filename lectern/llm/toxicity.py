@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, texts
+from .common import release, slices, stored, texts
 from .decontaminate import _TO_SPACE
 
 #: Weight of a text without words as a clean one, against all others' sum: what
@@ -275,8 +275,7 @@ def score(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     def run(batches):
         own = Model(part, bias, empty)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
+            for b in slices(batch):
                 out = own.score([t or "" for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out)], [*names, "score"])
             release()
