@@ -173,6 +173,8 @@ def ingest_window(spark, d):
 _EVENT_FIELDS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 # A page fails to land when it holds an outlier value (a failed fetch).
 _OUTLIER = 400.0
+# In the streaming query, so that several do.
+_STREAM_OUTLIER = 300.0
 
 
 def _land_event_pages(spark, d, with_failures: bool) -> str:
@@ -193,15 +195,18 @@ def _land_event_pages(spark, d, with_failures: bool) -> str:
     return path
 
 
-def _read_event_pages(spark, path):
+def _event_record():
     from pyspark.sql import types as T
-    rec = T.StructType([T.StructField("event_id", T.LongType()),
+    return T.StructType([T.StructField("event_id", T.LongType()),
                         T.StructField("ts", T.TimestampNTZType()),
                         T.StructField("user_id", T.LongType()),
                         T.StructField("event_type", T.StringType()),
                         T.StructField("value", T.DoubleType()),
                         T.StructField("props", T.StringType())])
-    return PG.read_landed_pages(spark, path, rec)
+
+
+def _read_event_pages(spark, path):
+    return PG.read_landed_pages(spark, path, _event_record())
 
 
 _PAGES_SQL = """pg AS (SELECT event_type, event_id // 100 AS page, max(value) AS vmax FROM events GROUP BY ALL),
@@ -248,6 +253,55 @@ def ingest_prefix(spark, d):
     return rec.select("event_id", "region", "page_offset")
 
 
+@register("ingest_pruned", """
+SELECT event_id, user_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+FROM events
+WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-15' - INTERVAL 20 DAY AND ts <= TIMESTAMP '2024-01-15' + INTERVAL 20 DAY""")
+def ingest_pruned(spark, d):
+    """P1 over records landed by region and month: the window's folders are
+    the only ones read."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "landed-by-month")
+    PG.land_records(table(spark, d, "events"), path, "event_type", "ts")
+    out = PG.read_window(spark, path, "event_type", "ts", "click", as_of="2024-01-15", days=20)
+    return out.select("event_id", "user_id", "event_type", "value",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+@register("ingest_stream", f"""
+WITH pg AS (SELECT event_type, page, n, vmax > {_STREAM_OUTLIER} AND page % 2 = 1 AS bad
+            FROM (SELECT event_type, event_id // 100 AS page, count(*) AS n, max(value) AS vmax FROM events GROUP BY ALL)),
+r AS (SELECT event_type, min(page) FILTER (WHERE bad) AS first_bad, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS bad_pages,
+             CAST(sum(n) AS BIGINT) AS expected, CAST(coalesce(sum(n) FILTER (WHERE NOT bad), 0) AS BIGINT) AS actual FROM pg GROUP BY ALL)
+SELECT e.event_id, e.event_type AS region, (e.event_id // 100) * 100 AS page_offset, pages, bad_pages, expected, actual,
+       bad_pages = 0 AND actual >= expected AS complete
+FROM events e JOIN r USING (event_type) WHERE first_bad IS NULL OR e.event_id // 100 < first_bad""")
+def ingest_stream(spark, d):
+    """S2/S3 over pages that land in three waves: pages with an outlier land
+    broken first, every second of them good later; a part of the first wave
+    lands again with the last. The records each source may keep, once each,
+    with what is known of its completeness."""
+    from ..session import scratch_path
+    from ..streaming import landing as L
+    packed = PG.pack_pages(table(spark, d, "events"), "event_type", "event_id", _EVENT_FIELDS)
+    vals = F.from_json(F.get_json_object("value", "$.results[*].value"), "array<double>")
+    odd = F.exists(vals, lambda v: v > F.lit(_STREAM_OUTLIER))
+    page = F.floor(F.col("offset") / 100)
+    waves = packed.select("value", "offset", page.alias("page"), odd.alias("odd"))
+    broken = F.substring("value", 1, F.floor(F.length("value") / 2).cast("int"))
+    land, out, done = (scratch_path(spark, f"stream-{x}") for x in ("landing", "out", "checkpoint"))
+    first = waves.filter((F.col("page") % 3 == 0) | F.col("odd")).select(F.when(F.col("odd"), broken).otherwise(F.col("value")).alias("value"))
+    second = waves.filter((F.col("page") % 3 == 1) & ~F.col("odd")).select("value")
+    late = waves.filter((~F.col("odd") & ((F.col("page") % 3 == 2) | (F.col("page") % 6 == 0))) | (F.col("odd") & (F.col("page") % 2 == 0))).select("value")
+    for wave in (first, second, late):
+        wave.write.mode("append").text(land)
+        query = L.ingest_pages_stream(spark, land, out, done, record_schema=_event_record())
+        query.awaitTermination()
+    state = L.landed_completeness(spark, out)
+    return (L.landed_records(spark, out).select("event_id", "region", "page_offset")
+            .join(state, "region").select("event_id", "region", "page_offset", "pages", "bad_pages", "expected", "actual", "complete"))
+
+
 # --- retrieval over the embeddings table (J2, O1, W3, T16) -----------------
 # Questions are every embedding row, searched against every embedding row.
 

@@ -85,6 +85,15 @@ def explode_records(pages: DataFrame) -> DataFrame:
                       (F.col("offset") + F.col("pos")).alias("_ord"), "r.*")
 
 
+def page_facts(pages: DataFrame) -> DataFrame:
+    """What completeness needs to know of each landed page: ``region,
+    offset, _own`` (names a page without an offset), ``_n`` (its records, null
+    if it is broken) and ``total_count``."""
+    n = F.when(~is_bad_page(pages), F.size("results"))
+    own = F.when(F.col("offset").isNull(), F.xxhash64("_file", CORRUPT, F.to_json("results")))
+    return pages.select("region", "offset", own.alias("_own"), n.alias("_n"), "total_count")
+
+
 def completeness(pages: DataFrame) -> DataFrame:
     """S2 per region (null where the source has none): expected =
     total_count of the first page (smallest offset), actual = records read.
@@ -94,10 +103,12 @@ def completeness(pages: DataFrame) -> DataFrame:
     of 0 means an empty, complete result. Where the first page is broken
     the total is unknown: ``expected`` and ``complete`` are null if all
     other pages are good, and ``complete`` is false if any is broken."""
-    n = F.when(~is_bad_page(pages), F.size("results"))
-    own = F.when(F.col("offset").isNull(), F.xxhash64("_file", CORRUPT, F.to_json("results")))
-    once = (pages.select("region", "offset", own.alias("_own"), n.alias("_n"), "total_count")
-            .groupBy("region", "offset", "_own")
+    return completeness_of(page_facts(pages))
+
+
+def completeness_of(facts: DataFrame) -> DataFrame:
+    """``completeness`` from the pages' facts."""
+    once = (facts.groupBy("region", "offset", "_own")
             .agg(F.max("_n").cast("long").alias("_n"), F.max("total_count").alias("total_count")))
     return (once.groupBy("region")
             .agg(F.coalesce(F.min_by("total_count", "offset"), F.when(F.count("offset") == 0, F.max("total_count")))
@@ -123,6 +134,44 @@ def readable_prefix(pages: DataFrame) -> DataFrame:
     return kept.drop("_first_bad", "_region")
 
 
+#: Partition columns of landed records.
+REGION_PART, MONTH_PART = "_region", "_month"
+
+
+def land_records(records: DataFrame, path: str, region_col: str, date_col: str, mode: str = "overwrite") -> None:
+    """Land records by region and month of their date (``none`` without one),
+    so that a window reads the folders it can touch and no others. Rows are
+    dealt by both and a hash first: a folder gets few files, and a region that
+    holds most rows still many writers."""
+    month = F.coalesce(F.date_format(_as_time(records, date_col), "yyyy-MM"), F.lit("none"))
+    parted = records.withColumns({REGION_PART: F.col(region_col), MONTH_PART: month})
+    salt = F.pmod(F.xxhash64(*records.columns), F.lit(LANDING_SALTS))
+    parted.repartition(REGION_PART, MONTH_PART, salt).write.mode(mode).partitionBy(REGION_PART, MONTH_PART).parquet(path)
+
+
+#: Writers of one region and month.
+LANDING_SALTS = 16
+
+
+def _as_time(records: DataFrame, date_col: str):
+    text = isinstance(records.schema[date_col].dataType, T.StringType)
+    return F.try_to_timestamp(F.col(date_col)) if text else F.col(date_col)
+
+
+def read_window(spark: SparkSession, path: str, region_col: str, date_col: str, region: str,
+                as_of=None, days: int = 365) -> DataFrame:
+    """P1 over landed records: the region and the months that the window
+    touches select folders, the window itself rows."""
+    from ..operators.predicates import window_bounds, window_filter
+
+    lo, hi = (b[:7] for b in window_bounds(as_of, days))
+    landed = spark.read.option("basePath", path).parquet(path)
+    # Months are text: Spark's guess of a partition's type does not matter.
+    month = F.col(MONTH_PART).cast("string")
+    near = landed.filter((F.col(REGION_PART) == region) & (month >= lo) & (month <= hi))
+    return window_filter(near, date_col, region_col, region, as_of, days).drop(REGION_PART, MONTH_PART)
+
+
 def pack_pages(records: DataFrame, region_col: str, order_col: str,
                fields: list[str], page_size: int = schema.PAGE_SIZE) -> DataFrame:
     """Inverse of the source, used to land test data: records grouped into

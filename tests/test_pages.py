@@ -3,6 +3,8 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from lectern.sources import pages as PG
 
 
@@ -112,3 +114,21 @@ def test_broken_first_page_leaves_the_total_unknown(spark, tmp_path):
     _land(str(tmp_path), [_page(0, 150, 100), _page(100, 150, 50)], broken={0})
     c = PG.completeness(PG.read_landed_pages(spark, str(tmp_path))).first()
     assert (c.expected, c.actual, c.complete) == (None, 50, False)
+
+
+def test_landed_records_are_pruned_by_region_and_month(spark, scratch):
+    from lectern.operators.predicates import window_filter
+    from lectern.sources import pages as PG
+    rows = [(i, ["a", "b", None][i // 12 % 3], f"2024-{i % 12 + 1:02d}-{i % 28 + 1:02d}" if i % 10 else ["soon", None][i % 20 == 0]) for i in range(720)]
+    recs = spark.createDataFrame(rows, "id int, region string, day string")
+    PG.land_records(recs, scratch, "region", "day")
+    got = PG.read_window(spark, scratch, "region", "day", "a", as_of="2024-03-10", days=30)
+    want = window_filter(recs, "day", "region", "a", "2024-03-10", 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and 0 < got.count() < 100
+    plan = got._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "PartitionFilters: [isnotnull(_region" in text and "_month" in text.split("PartitionFilters", 1)[1].split("]")[0]
+    # Three of the twelve months, one of the regions.
+    read = {r[0].rsplit("/", 1)[0] for r in got.select(F.input_file_name()).distinct().collect()}
+    assert len(read) == 3 and all("_region=a" in f for f in read)
+    assert PG.read_window(spark, scratch, "region", "day", "no such", as_of="2024-03-10").count() == 0
