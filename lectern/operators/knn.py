@@ -24,10 +24,18 @@ Questions reach the tasks in one of two ways:
 
 * **broadcast** when ``count x dim x 4`` bytes fits ``broadcast_max_bytes``
   (the size is checked with an aggregate before anything is collected);
-* **grid** otherwise: questions are hashed into ``QB`` blocks that each fit
-  the bound, index rows into ``G`` groups, and ``cogroup`` on ``(group,
-  block)`` scores every block against every group. Nothing passes through
-  the driver and every group is bounded on both sides.
+* **blocks** otherwise: the questions are numbered and stored once, and each
+  block of as many as fit the bound has a pass of its own over the index: it
+  is broadcast, scored, ranked, and its hits (k rows a question) are stored
+  before the next one starts. No index row is shuffled, and driver and tasks
+  hold one block at a time. A pass reads a vector once for a whole block of
+  questions, thousands of multiplications a byte, so that reading the index
+  again costs little beside the scoring, and a shuffle of it for each block
+  costs much;
+* **grid** (only when asked for): questions are hashed into ``QB`` blocks that
+  each fit the bound, index rows into ``G`` groups, and ``cogroup`` on
+  ``(group, block)`` scores every block against every group. Nothing passes
+  through the driver, but the index is copied through a shuffle for each block.
 """
 
 from __future__ import annotations
@@ -209,12 +217,15 @@ def knn(questions: DataFrame, index: DataFrame, k: int,
         return empty.select(q_id, "rank", i_id, "distance", *carry)
     qbytes = nq * dim * 4
     if strategy == "auto":
-        strategy = "broadcast" if qbytes <= broadcast_max_bytes else "grid"
+        strategy = "broadcast" if qbytes <= broadcast_max_bytes else "blocks"
     idx = index.select(i_id, i_vec)
     if strategy == "broadcast":
         if qbytes > broadcast_max_bytes:
             raise ValueError("questions exceed the broadcast bound")
-        cands = _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema)
+        cands, _ = _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema)
+    elif strategy == "blocks":
+        hits = _block_scans(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema, max(1, broadcast_max_bytes // (dim * 4)))
+        return _attach(hits, index, q_id, i_id, carry, broadcast_max_bytes) if carry else hits
     elif strategy == "grid":
         cands = _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema,
                            nq, broadcast_max_bytes, group_rows)
@@ -248,6 +259,24 @@ def _attach(hits: DataFrame, index: DataFrame, q_id: str, i_id: str, carry: list
     return meta.join(small, i_id).select(q_id, "rank", i_id, "distance", *carry)
 
 
+def _block_scans(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema, block_rows: int) -> DataFrame:
+    """Hits of all questions, a pass over the index for each block of
+    ``block_rows``."""
+    from ..session import scratch_path
+    from .batches import BATCH, sliced
+
+    rows = sliced(qs, [F.col(q_id)], block_rows)
+    path = scratch_path(idx.sparkSession, "knn-blocks")
+    blocks = rows.agg(F.max(BATCH)).first()[0] + 1
+    for b in range(blocks):
+        block = rows.filter(F.col(BATCH) == b).select(q_id, q_vec)
+        cands, sent = _broadcast_scan(block, idx, k, q_id, q_vec, i_id, i_vec, dim, schema)
+        _final_rank(cands, k, q_id, i_id).select(q_id, "rank", i_id, "distance").write.parquet(f"{path}/block={b}")
+        sent.destroy()
+    hits = idx.sparkSession.read.parquet(path)
+    return hits.select(q_id, "rank", i_id, "distance")
+
+
 def _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema):
     spark = idx.sparkSession
     qt = qs.toArrow()  # bounded: size checked by the caller
@@ -264,7 +293,7 @@ def _broadcast_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema):
         if out is not None:
             yield from out.to_batches()
 
-    return idx.mapInArrow(score, schema)
+    return idx.mapInArrow(score, schema), bc
 
 
 def _grid_scan(qs, idx, k, q_id, q_vec, i_id, i_vec, dim, schema,

@@ -312,12 +312,12 @@ from ..plans import evaluate as EV  # noqa: E402
 from ..functions import prompt as PRM  # noqa: E402
 
 
-def _emb_hits(spark, d, k, carry=()):
+def _emb_hits(spark, d, k, carry=(), **knn_args):
     e = table(spark, d, "embeddings")
     qs = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
     idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"),
                    *[F.col(c) for c in carry if c not in ("vector",)])
-    return KNN.knn(qs, idx, k, carry=list(carry))
+    return KNN.knn(qs, idx, k, carry=list(carry), **knn_args)
 
 
 def _other_hits(spark, d, k, carry=()):
@@ -361,6 +361,17 @@ SELECT question_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(distance, 6)
         _knn_query(_k))
 
 
+@register("knn_grid", f"""
+WITH {_hits_sql(3)}
+SELECT question_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(distance, 6) AS distance FROM hits""")
+def knn_grid(spark, d):
+    """J2 beyond the broadcast bound: every embedding asks, in four blocks
+    of questions that pass over the index one after the other."""
+    some = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    h = _emb_hits(spark, d, 3, broadcast_max_bytes=-(-some["n"] // 4) * some["dim"] * 4)
+    return h.select("question_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
 def _docs_meta(spark, d):
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("titre"),

@@ -39,7 +39,7 @@ def _brute(vecs, ids, k):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+@pytest.mark.parametrize("strategy", ["broadcast", "grid", "blocks"])
 def test_matches_brute_force(spark, strategy):
     e = spark.read.parquet(f"{SF001}/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
@@ -49,7 +49,7 @@ def test_matches_brute_force(spark, strategy):
                    (F.col("vec_id") * 10 + F.col("label")).alias("payload"))
     # The grid bound is also below the hits' size, so the payload is
     # attached by a shuffle join there and by a broadcast join otherwise.
-    bound = 2048 if strategy == "grid" else 64 << 20
+    bound = 64 << 20 if strategy == "broadcast" else 16 << 10 if strategy == "blocks" else 2048
     hits = knn(qs, idx, 4, strategy=strategy, broadcast_max_bytes=bound, group_rows=7,
                carry=["payload", "vector"])
     labels = {r.vec_id: r.label for r in rows}
@@ -120,3 +120,28 @@ def test_many_ties_stay_bounded(spark, monkeypatch):
     tk.add(pa.table({"id": ids, "v": pa.array([[1.0] * 8] * 2000, pa.list_(pa.float32()))}), "v")
     assert max(most) <= 20_000 and tk.state.num_rows == 3000
     assert set(tk.state.column("_id").to_pylist()) == {"0000", "0001", "0002"}
+
+
+def test_beyond_the_bound_blocks_pass_over_the_index(spark, monkeypatch):
+    """One block of questions is sent at a time, none larger than the bound,
+    and no index row is shuffled."""
+    from lectern.operators import knn as K
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    n = e.count()
+    dim = len(e.first().embedding)
+    qs = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    idx = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    sent, scan = [], K._broadcast_scan
+
+    def seen(block, *args):
+        cands, bc = scan(block, *args)
+        sent.append(len(bc.value[0]))
+        plan = cands._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" not in plan and "Join" not in plan and "MapInArrow" in plan
+        return cands, bc
+
+    monkeypatch.setattr(K, "_broadcast_scan", seen)
+    hits = K.knn(qs, idx, 3, broadcast_max_bytes=64 * dim * 4).collect()
+    assert sent == [64] * (n // 64) + [n % 64] * (n % 64 > 0)
+    monkeypatch.setattr(K, "_broadcast_scan", scan)
+    assert sorted(map(tuple, hits)) == sorted(map(tuple, K.knn(qs, idx, 3).collect()))
