@@ -735,6 +735,9 @@ _SEARCH_SQL = _search_sql(3)
 
 # --- end to end (X1 + X3, X2) -----------------------------------------------
 
+from ..functions import standins as ST  # noqa: E402
+
+
 def _questions(spark, d):
     conv = table(spark, d, "conversations").filter(F.col("role") == "user")
     return conv.select(F.concat_ws(":", "conv_id", "turn").alias("question_id"),
@@ -783,6 +786,28 @@ def answer_prompts(spark, d):
     return prompts.select("question_id", "n_contexts", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+@register("answers_generated", f"""
+WITH {_SEARCH_SQL},
+ctx AS (SELECT h.question_id, string_agg(c.text, chr(10) || chr(10) ORDER BY h.rank) AS context
+        FROM hits h JOIN ck c USING (chunk_id) GROUP BY h.question_id),
+p AS (SELECT q.question_id, {_prompt_sql("ctx.context", "q.question")} AS prompt FROM qs q LEFT JOIN ctx USING (question_id))
+SELECT question_id, {" || '. ' || ".join(f"substr(prompt, {a + 1}, {n})" for a, n in ST.QUOTED)} AS answer, CAST(NULL AS VARCHAR) AS answer_error,
+       CAST(0 AS BIGINT) AS asked_again FROM p""")
+def answers_generated(spark, d):
+    """X2 with a generator (M3): every user turn is answered from its k = 3
+    context, through the log of calls. The same questions asked again are
+    answered from the log: ``asked_again`` counts the prompts that were sent a
+    second time, to a model that refuses all."""
+    from ..plans.serve import answer
+    from ..session import scratch_path
+    idx, emb = _built_index(spark, d)
+    log, qs = scratch_path(spark, "answers-log"), _questions(spark, d)
+    first, _ = answer(qs, idx, emb, 3, generate=ST.quote_prompts, log_path=log)
+    again, _ = answer(qs, idx, emb, 3, generate=ST.refuse, log_path=log)
+    sent = again.filter("answer_error is not null").count()
+    return first.select("question_id", "answer", "answer_error", F.lit(sent).cast("long").alias("asked_again"))
+
+
 @register("search_status", f"""
 WITH a AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id,
                   CASE WHEN (conv_id + turn) % 5 = 0 THEN ' ' WHEN conv_id % 97 = 0 THEN text || ' secret' ELSE text END AS question
@@ -826,7 +851,6 @@ def chunk_documents(spark, d):
 
 # --- evaluation job (X4) ----------------------------------------------------
 
-from ..functions import standins as ST  # noqa: E402
 from ..functions.embedder import TOKEN_CLASS  # noqa: E402
 
 
