@@ -4,7 +4,8 @@ The test phrases are the windows of ``size`` consecutive words of every
 benchmark item (a shorter item is one window). A shard is what a task holds
 of the documents at a time. Its words become numbers, its stretches that hold
 no run of phrase bigrams as long as the shortest phrase are left out (no
-phrase can lie there), and an FM-index is built over the rest: suffix order
+phrase can lie there, so nothing is lost; most of a clean text is), and an
+FM-index is built over the rest: suffix order
 by prefix doubling, a wavelet matrix over the last column for ranks, and
 suffix positions sampled at every stretch's start and at regular distances.
 Backward search steps all phrases at once; each occurrence is located by
@@ -15,7 +16,9 @@ beyond one block takes several passes, whose spans are merged per document.
 
 Defined results: null and empty texts have no words and no hits; an item
 without an id or without words takes no part; items that share an id count
-once; repeated document rows each get their own result.
+once; repeated document rows each get their own result; very long texts are
+indexed whole, as a shard of their own; an empty table of documents gives no
+rows, an empty benchmark no hits; other columns are never read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ takes no part, as a query or as a candidate, and neither does a row without
 an id. A query's candidates are the rows of its own dimension with another
 id. Ties go to the smaller id. Repeated rows are candidates each; a query row
 repeated with the same vector is answered once. Scores are exact whole
-numbers; a scaled component, or the score of a query and a candidate, that is
+numbers; an empty table has no queries and gives no rows; other columns are
+never read, whatever their names; a scaled component, or the score of a query and a candidate, that is
 no 64-bit integer is an error.
 """
 

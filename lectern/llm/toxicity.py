@@ -13,7 +13,8 @@ of its words, however long it is.
 Defined results: null and empty texts (and texts without words) score what
 the softmax gives a zero average, the bias alone; without usable labels of
 both classes every score is 0.0. A label row that repeats counts once, as toxic if any of
-its rows is. Repeated documents get equal scores.
+its rows is. Repeated documents get equal scores; an empty table of documents
+gives no rows, whatever the labels.
 """
 
 from __future__ import annotations
