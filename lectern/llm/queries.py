@@ -71,11 +71,13 @@ _SECRET_NAMES = "[" + ", ".join(map(_sql_text, secrets.KINDS)) + "]"
 @register("op2_secrets", f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source FROM documents),
 c AS ({_secret_matches('assign', secrets.LEAST_ASSIGNED)} UNION ALL {_secret_matches('access', 1)} UNION ALL {_secret_matches('hex', 1)}),
-o AS (SELECT value, count(DISTINCT coalesce(source, '') || ':' || (source IS NULL)) AS n_owners FROM c JOIN d USING (row) GROUP BY value),
-v AS (SELECT DISTINCT row, CASE WHEN n_owners >= {secrets.EXAMPLE_OWNERS} THEN 4 ELSE 3 END AS kind, first, last
+o AS (SELECT value, count(DISTINCT owner) >= {secrets.EXAMPLE_OWNERS} OR count(DISTINCT owner || ':' || repo) >= {secrets.EXAMPLE_REPOS} AS copied
+      FROM (SELECT value, coalesce(source, '') || ':' || (source IS NULL) AS owner, coalesce(CAST(doc_id AS VARCHAR), 'none') AS repo
+            FROM c JOIN d USING (row)) GROUP BY value),
+v AS (SELECT DISTINCT row, CASE WHEN copied THEN 4 ELSE 3 END AS kind, first, last
       FROM c JOIN o USING (value)
-      WHERE n_owners >= {secrets.EXAMPLE_OWNERS}
-         OR (n_owners = 1 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+      WHERE copied
+         OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
              AND NOT regexp_matches(value, {_sql_text(secrets._PLACEHOLDER)})
              AND len(list_distinct(string_split(value, ''))) >= {secrets.LIVE_CHARACTERS})),
 b AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,

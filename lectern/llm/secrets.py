@@ -3,9 +3,10 @@
 Native: DataFrame functions only. A scan finds candidates in every text
 (assignments, access keys, long hex strings) with their places. The hashes of
 their values are then counted over the whole corpus by distinct repositories
-and owners: a value that many owners hold is a copied example, one that a
-single owner holds and that looks random is likely live. Both verdicts are
-added as further spans; a value between the two gets none.
+and owners: a value in many repositories, or of several owners, is a copied
+example, also where one owner copied it; one in few repositories of one or two
+owners that looks random is likely live. Both verdicts are added as further
+spans; a value in few places that does not look random gets none.
 
 Counting is by combining sums only (repository, then owner, then value), so a
 value that a third of all rows hold moves a row per task. The verdicts return
@@ -38,8 +39,10 @@ PATTERNS = {
 LEAST_ASSIGNED = 6
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Owners from which on a value counts as a copied example.
+#: Owners, and repositories whosever, from which on a value counts as a copied
+#: example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 10
 #: Different characters that a live-looking value has at least.
 LIVE_CHARACTERS = 8
 _PLACEHOLDER = "(?i)example|changeme|dummy|placeholder|your|xxxx|12345"
@@ -121,10 +124,11 @@ def scan(docs: DataFrame, text_col: str, repo_col: str, owner_col: str, keep: li
         F.unhex(F.sha2(c["value"], 256)).alias("hash"), looks_live(c["value"]).alias("live"))))
     found = stored(base.withColumn("row", F.monotonically_increasing_id()), "secrets-found")
 
-    counts = stored(ownership(found).filter((F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_owners") == 1)), "secrets-owned")
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
+    counts = stored(ownership(found).select("hash", copied.alias("copied")), "secrets-owned")
     each = found.select("row", F.explode("cands").alias("c")).select("row", F.col("c.hash").alias("hash"), "c")
     live, example = KINDS.index("live"), KINDS.index("example")
-    verdict = F.when(F.col("n_owners") >= EXAMPLE_OWNERS, F.lit(example)).when(F.col("c.live"), F.lit(live))
+    verdict = F.when(F.col("copied"), F.lit(example)).when(F.col("c.live"), F.lit(live))
     added = (each.join(counts, "hash").withColumn("verdict", verdict).filter(F.col("verdict").isNotNull())
              .groupBy("row").agg(F.collect_set(F.struct(F.col("c.first").alias("first"), F.col("verdict").alias("kind"),
                                                         F.col("c.last").alias("last"))).alias("added")))
