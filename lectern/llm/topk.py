@@ -2,7 +2,8 @@
 
 Every vector component x becomes floor(256 * x). Queries are collected in
 blocks of a bounded number of bytes (measured first; as many blocks as the
-queries need, each one pass over the vectors). A pass broadcasts its block;
+queries need, each one pass over the vectors whose result is stored before the
+next block is loaded). A pass broadcasts its block;
 a task multiplies it with its shard tile by tile, selects each query's best k
 of a tile, and keeps a running list. A task hands on k rows a query, and the
 lists are merged up a tree: first within groups of shards, then over all.
@@ -25,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.batches import BATCH, sliced
+from ..session import scratch_path
+
 #: Bytes of queries (as 64-bit floats) that one pass broadcasts.
 BLOCK_BYTES = 32 << 20
 #: Rows and queries of a tile; a tile's product has so many scores.
@@ -155,21 +159,28 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_co
                              F.coalesce(is_query, F.lit(False)).alias("q"))
     usable = flagged.filter(F.col("id").isNotNull() & _usable(F.col("v")))
     queries = usable.filter("q").select("id", "v")
-    need = queries.agg(F.sum(8.0 * F.size("v") + 8)).first()[0] or 0.0
-    n_blocks = max(1, -(-int(1.5 * need) // block_bytes))
-    lists = None
-    for i in range(n_blocks):
-        own = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)
-        block = _load(own.toArrow(), i << 40)
-        part = usable.select("id", "v").mapInArrow(
-            _shard_lists(block, k), "query_row long, query_id long, shard long, vec_id long, score long")
-        lists = part if lists is None else lists.unionByName(part)
+    need, longest = queries.agg(F.sum(8.0 * F.size("v") + 8), F.max(F.size("v"))).first()
 
     def merged(rows: DataFrame, *by) -> DataFrame:
         w = Window.partitionBy("query_row", *by).orderBy(F.desc("score"), "vec_id")
         return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    group = F.pmod(F.col("shard"), F.lit(FAN_IN)).alias("shard")
-    first = merged(lists.select("query_row", "query_id", group, "vec_id", "score"), "shard").drop("rank")
-    return merged(first).select("query_id", "rank", "vec_id", "score")
+    def searched(block: DataFrame) -> DataFrame:
+        lists = usable.select("id", "v").mapInArrow(
+            _shard_lists(_load(block.toArrow(), 0), k), "query_row long, query_id long, shard long, vec_id long, score long")
+        group = F.pmod(F.col("shard"), F.lit(FAN_IN)).alias("shard")
+        first = merged(lists.select("query_row", "query_id", group, "vec_id", "score"), "shard").drop("rank")
+        return merged(first).select("query_id", "rank", "vec_id", "score")
+
+    if 1.5 * (need or 0.0) <= block_bytes:
+        return searched(queries)
+    # Each pass is stored before the next one's block is loaded: the driver
+    # holds one block. Distinct query rows are numbered, so a block is full
+    # and no larger, whatever id repeats.
+    rows = max(1, int(block_bytes / (1.5 * (8 * longest + 8))))
+    dealt = sliced(queries.distinct(), [F.col("id"), F.col("v")], rows)
+    path = scratch_path(vectors.sparkSession, "topk")
+    for i in range(dealt.agg(F.max(BATCH)).first()[0] + 1):
+        searched(dealt.filter(F.col(BATCH) == i).select("id", "v")).write.parquet(f"{path}/block={i}")
+    return vectors.sparkSession.read.parquet(path).select("query_id", "rank", "vec_id", "score")
 
