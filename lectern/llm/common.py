@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession):
+    """Tables ``stored`` inside are removed at the end, from the shared folder
+    too. What is needed afterwards is stored outside of it by ``keep``, the
+    function that it gives."""
+    made: list[str] = []
+    token = _MADE.set(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        made.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared checkpoint folder and
     read back. It cuts the lineage, is column-pruned when read, and survives
     the loss of any executor."""
     path = scratch_path(df.sparkSession, name)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
