@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, neardup, secrets, toxicity
 from lectern.llm import queries as Q
-from lectern.llm.common import read, small_batches, stored
+from lectern.llm.common import read, scratch_dropped, small_batches, stored
 
+#: Row numbers that are broadcast at once, at most (some 64 MB).
+SENT_ROWS = 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,14 +46,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     small_batches(spark)
     # Rows have numbers of their own: ids may repeat, with other texts, or lack.
     rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
-    classes = stored(neardup.near_duplicates(rows, "row", "text").select(
-        F.col("id").alias("row"), F.col("component_id").alias("copies"), "n_shingles"), "dedup-classes")
+    with scratch_dropped(spark) as keep:
+        classes = keep(neardup.near_duplicates(rows, "row", "text").select(
+            F.col("id").alias("row"), F.col("component_id").alias("copies"), "n_shingles"), "dedup-classes")
     worded = rows.select("row", "doc_id").join(classes.filter("n_shingles > 0").select("row", "copies"), "row")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     best = worded.groupBy("copies").agg(F.min(first).alias("best")).select(F.col("best.row").alias("row"))
-    wordless = rows.join(classes.filter("n_shingles = 0").select("row"), "row", "left_semi")
+    wordless = rows.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     single = wordless.groupBy("doc_id", "text").agg(F.min("row").alias("row")).select("row")
-    return rows.join(stored(best.unionByName(single), "dedup-kept"), "row", "left_semi").select(*COLUMNS)
+    # Texts stay where they are: only row numbers are shuffled, and those of
+    # the rows that go are sent to all tasks where their number allows.
+    gone = stored(rows.select("row").join(best.unionByName(single), "row", "left_anti"), "dedup-gone")
+    gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
