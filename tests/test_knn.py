@@ -145,3 +145,47 @@ def test_beyond_the_bound_blocks_pass_over_the_index(spark, monkeypatch):
     assert sent == [64] * (n // 64) + [n % 64] * (n % 64 > 0)
     monkeypatch.setattr(K, "_broadcast_scan", scan)
     assert sorted(map(tuple, hits)) == sorted(map(tuple, K.knn(qs, idx, 3).collect()))
+
+
+def test_a_batch_touches_only_questions_with_a_new_hit(monkeypatch):
+    """Once the top k are full, what is sorted for a batch grows with the hits
+    that it brings, not with the questions."""
+    import pyarrow as pa
+    from lectern.operators import knn as K
+    rng = np.random.default_rng(3)
+    near, far = rng.random((600, 8)).astype(np.float32), rng.random((50, 8)).astype(np.float32) + 9
+    questions = rng.random((400, 8)).astype(np.float32)
+    questions[11] = far[7]
+    kind = pa.list_(pa.float32())
+    tk = K.TopK(questions, 3, "id")
+    tk.add(pa.table({"id": range(600), "v": pa.array(list(near), kind)}), "v")
+    before, rows = tk.state, []
+    lexsort, indices = np.lexsort, K.pc.sort_indices
+    monkeypatch.setattr(np, "lexsort", lambda keys: (rows.append(len(keys[0])), lexsort(keys))[1])
+    monkeypatch.setattr(K.pc, "sort_indices", lambda t, **kw: (rows.append(t.num_rows), indices(t, **kw))[1])
+    tk.add(pa.table({"id": range(600, 650), "v": pa.array(list(far), kind)}), "v")
+    assert 0 < sum(rows) <= 3 + 50
+    other, own = ([r for r in t.to_pylist() if r["_q"] != 11] for t in (before, tk.state)), tk.state.to_pylist()
+    assert next(other) == next(other)
+    assert [r["_id"] for r in own if r["_q"] == 11][0] == 607
+
+
+def test_a_vector_that_is_no_number_hides_no_other(spark):
+    idx = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [float("nan"), 1.0]), ("c", [0.0, 1.0])],
+                                "chunk_id string, vector array<float>").coalesce(1)
+    qs = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, vector array<float>")
+    assert [r.chunk_id for r in knn(qs, idx, 2).orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_ids_that_left_the_top_are_dropped(monkeypatch):
+    import pyarrow as pa
+    from lectern.operators import knn as K
+    monkeypatch.setattr(K, "_HELD_IDS", 10)
+    rng = np.random.default_rng(4)
+    v, q = rng.random((500, 4)).astype(np.float32), rng.random((5, 4)).astype(np.float32)
+    tk = K.TopK(q, 2, "id")
+    for s in range(0, 500, 25):
+        tk.add(pa.table({"id": [f"{i:03d}" for i in range(s, s + 25)], "v": pa.array(list(v[s:s + 25]), pa.list_(pa.float32()))}), "v")
+    assert tk.held <= 40
+    best = _brute(np.r_[v, q], [f"{i:03d}" for i in range(500)] + [f"q{i}" for i in range(5)], 3)
+    assert tk.state["_id"].to_pylist() == [i for n in range(5) for i in best[f"q{n}"][1:]]
