@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import BATCH_BYTES, scratch_path, small_batches  # noqa: F401 - for the operators
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,22 +52,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of rows that Spark hands to Python in one Arrow batch, where an
-#: operator asks for small ones.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_BYTES`` in this session: a job that
-    sends whole texts to Python in several stages holds some batches at once,
-    in the JVM and in its workers."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
-    now = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(unit[:1], 0)
-    if now > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 #: Bytes of text that a task works on together, and rows at most.
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 512
