@@ -189,3 +189,56 @@ def test_ids_that_left_the_top_are_dropped(monkeypatch):
     assert tk.held <= 40
     best = _brute(np.r_[v, q], [f"{i:03d}" for i in range(500)] + [f"q{i}" for i in range(5)], 3)
     assert tk.state["_id"].to_pylist() == [i for n in range(5) for i in best[f"q{n}"][1:]]
+
+
+def test_a_batch_looks_only_through_cells_of_questions_with_a_new_hit(monkeypatch):
+    """Once the top k are full, cells are looked through one by one only where
+    a question's best of the piece passes; one that is no number does not hide
+    the hit beside it."""
+    import pyarrow as pa
+    from lectern.operators import knn as K
+    rng = np.random.default_rng(5)
+    near, far = rng.random((600, 8)).astype(np.float32), rng.random((50, 8)).astype(np.float32) + 9
+    questions = rng.random((400, 8)).astype(np.float32)
+    questions[11] = far[7]
+    kind = pa.list_(pa.float32())
+
+    def fed(monkeypatch=None, odd=False):
+        tk, cells = K.TopK(questions, 3, "id"), []
+        tk.add(pa.table({"id": range(600), "v": pa.array(list(near), kind)}), "v")
+        if monkeypatch is not None:
+            nonzero, flat = np.nonzero, np.flatnonzero
+            monkeypatch.setattr(np, "nonzero", lambda a: (cells.append(np.size(a)), nonzero(a))[1])
+            monkeypatch.setattr(np, "flatnonzero", lambda a: (cells.append(np.size(a)), flat(a))[1])
+        late = far.copy()
+        late[3] = np.nan if odd else late[3]
+        tk.add(pa.table({"id": range(600, 650), "v": pa.array(list(late), kind)}), "v")
+        monkeypatch and monkeypatch.undo()
+        return tk.state.to_pylist(), cells
+
+    state, cells = fed(monkeypatch)
+    assert 0 < sum(cells) < 5 * len(questions) < len(questions) * len(far)
+    assert [r["_id"] for r in state if r["_q"] == 11][0] == 607
+    assert [r for r in fed(odd=True)[0] if r["_q"] != 11] == [r for r in state if r["_q"] != 11]
+    assert [r["_id"] for r in fed(odd=True)[0] if r["_q"] == 11][0] == 607
+
+
+@pytest.mark.parametrize("cells, piece, first, k", [(64, 8, 4, 3), (1 << 19, 512, 256, 1), (40, 5, 2, 7), (1, 3, 1, 2)])
+def test_pieces_and_waiting_candidates_match_brute_force(monkeypatch, cells, piece, first, k):
+    """Any cut into blocks and pieces gives the same rows, ties by id
+    included: many vectors are equal here."""
+    import pyarrow as pa
+    from lectern.operators import knn as K
+    monkeypatch.setattr(K, "_BLOCK_CELLS", cells)
+    monkeypatch.setattr(K, "_PIECE_ROWS", piece)
+    monkeypatch.setattr(K, "_FIRST_ROWS", first)
+    rng = np.random.default_rng(6)
+    v, q = rng.integers(0, 3, (300, 4)).astype(np.float32), rng.integers(0, 3, (30, 4)).astype(np.float32)
+    tk = K.TopK(q, k, "id")
+    for s in range(0, 300, 70):
+        part = v[s:s + 70]
+        tk.add(pa.table({"id": range(s, s + len(part)), "v": pa.array(list(part), pa.list_(pa.float32()))}), "v")
+    d = ((q[:, None].astype(np.float64) - v[None]) ** 2).sum(axis=2)
+    best = np.argsort(d, axis=1, kind="stable")[:, :k]
+    assert tk.state["_id"].to_pylist() == best.ravel().tolist()
+    assert tk.state["_d"].to_pylist() == np.take_along_axis(d, best, 1).ravel().tolist()
