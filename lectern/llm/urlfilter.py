@@ -71,16 +71,18 @@ def fitting(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def _hashes(text: Column, seed: int) -> Column:
-    points = F.transform(F.split(text, ""), F.ascii)
-    at = F.sequence(F.lit(0), F.size(points) - GRAM)
-
-    def number(i):
-        h = F.lit(seed).cast("long")
-        for j in range(GRAM):
-            h = h * 131 + F.get(points, i + j)
-        return (h % BUCKETS).cast("int")
-
-    return F.when(F.length(text) >= GRAM, F.transform(at, number)).otherwise(F.expr("cast(array() as array<int>)"))
+    def hashed(points):
+        def number(i):
+            h = F.lit(seed).cast("long")
+            for j in range(GRAM):
+                h = h * 131 + F.get(points, i + j)
+            return (h % BUCKETS).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.size(points) - GRAM), number)
+
+    # An array of one binds the code points, which every n-gram reads.
+    found = F.get(F.transform(F.array(F.transform(F.split(text, ""), F.ascii)), hashed), 0)
+    return F.when(F.length(text) >= GRAM, found).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def grams(host: Column, path: Column) -> Column:
